@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decontamination, mixing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op3_token_files": token_files.op3_token_files,
+    "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_benchmark_decontamination": decontamination.SQL}
