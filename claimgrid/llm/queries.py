@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, token_files
+from . import decontamination, mixing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op2_simhash": simhash.op2_simhash,
     "op3_token_files": token_files.op3_token_files,
     "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
 }
