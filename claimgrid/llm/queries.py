@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, simhash, token_files
+from . import decontamination, language, mixing, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_simhash": simhash.op2_simhash,
     "op3_token_files": token_files.op3_token_files,
     "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
+    "op6_language": language.op6_language,
+    "op7_quality": quality.op7_quality,
 }
 
 SQL: dict[str, str] = {"op4_benchmark_decontamination": decontamination.SQL}
