@@ -7,7 +7,7 @@ so a look-up reads a few row groups and a scan deals stripes out to tasks. A doc
 stream is the sum of the ranges before it plus local_start: no window over all rows is needed.
 
 Scale: one range exchange by doc_id carries the texts; tokenising runs inside the sorted ranges, in Arrow
-batches, with a word cache that is emptied at ``CACHE_WORDS``. The tokenizer drops white space, and no rule
+batches, with word caches of ``CACHE_WORDS``. The tokenizer drops white space, and no rule
 of it looks across a space, so texts are cut at spaces and each distinct word is encoded once.
 
 Cases: null and empty texts hold the end id alone; null doc_ids come first; rows that share a doc_id are kept,
@@ -16,12 +16,14 @@ in the order of their texts; an empty table writes no rows.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,30 +43,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words whose normal form and cuts are found here, not by the tokenizer's normaliser: visible Latin-1 only, which is in NFC.
+PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
+#: The tokenizer file's own rule for cutting words, over lower-cased text.
+CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def byte_letters() -> list[str]:
+    """Byte to the letter that byte-level vocabularies write for it: visible Latin-1 as it is, the others in order from U+0100."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class Cache(dict):
+    """A dict of two generations: when the young one has ``most`` entries it becomes the old one, whose entries come back as they are used."""
+
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordIds:
-    """Token ids of texts as little-endian 32-bit integers. ``path``: a tokenizer file whose rules never look across a space."""
+    """Token ids of texts as little-endian 32-bit integers. ``path``: a tokenizer file with the rules named above.
+
+    A word in plain Latin-1 is lower-cased and cut here and its pieces go to the library's BPE model; any other, and any that
+    could hold a special token, goes through the library's whole chain.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {"": b""}, cache_words
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.pieces, self.known = Cache(cache_words, self.piece), Cache(cache_words, self.word)
+
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        todo = [w for w in words if w not in self.known]
-        if len(self.known) + len(todo) > self.most:
-            self.known, todo = {"": b""}, [w for w in words if w]
-        for i in range(0, len(todo), 4096):
-            some = todo[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            if word.isalpha():
+                return self.pieces[word.lower()]
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return self.pieces[word[:-1].lower()] + self.pieces[word[-1]]
+            return b"".join([self.pieces[p] for p in CUTS.findall(word.lower())])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, WordIds] = {}
