@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, language, mixing, quality, simhash, token_files
+from . import decontamination, embeddings, language, mixing, pii, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
     "op6_language": language.op6_language,
     "op7_quality": quality.op7_quality,
+    "op8_pii": pii.op8_pii,
     "op10_embedding_neardup": embeddings.op10_embedding_neardup,
 }
 
