@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, language, mixing, pii, quality, simhash, token_files
+from . import decontamination, embeddings, html_text, language, mixing, pii, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_simhash": simhash.op2_simhash,
     "op3_token_files": token_files.op3_token_files,
     "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
+    "op5_html_text": html_text.op5_html_text,
     "op6_language": language.op6_language,
     "op7_quality": quality.op7_quality,
     "op8_pii": pii.op8_pii,
