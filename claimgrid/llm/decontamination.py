@@ -98,8 +98,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     parts = []
-    rows = docs.select(*keep, "text") if blocks == 1 else checkpoint(docs.select(*keep, "text").withColumn("__row", F.monotonically_increasing_id()))
-    held = [c for c in rows.columns if c != "text"]
+    rows = docs.select(*(c for c in keep if c != "text"), "text")
+    rows = rows if blocks == 1 else checkpoint(rows.withColumn("__row", F.monotonically_increasing_id()))
+    held = [c for c in rows.columns if c != "text" or c in keep]
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         own = [(r["item_id"], r["text"]) for r in block.toLocalIterator()]

@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         for whole in it:
             for lo in range(0, whole.num_rows, 128):
                 b = whole.slice(lo, 128)
-                sets = [presence(t) for t in b.column("__text").to_pylist()]
+                sets = [presence(t) for t in b.column("text").to_pylist()]
                 lang, score = [UND] * len(sets), np.zeros(len(sets))
                 if m.languages and sets:
                     s = m.scores(sets)
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                             lang[i], score[i] = m.languages[best[i]], p[i, best[i]]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(batches, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+    return docs.select(*(c for c in keep if c != "text"), "text").mapInArrow(batches, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

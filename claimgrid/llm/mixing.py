@@ -163,6 +163,27 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, bloc
     return documents, pieces.select("shard", F.xxhash64("shard", "epoch", "source", "lo", F.lit(seed)).alias("place"), "source", "at", "doc_id", "size", "epoch", (F.col("lo") - F.col("at")).alias("word_from"), (F.col("hi") - F.col("at")).alias("word_to"))
 
 
+def with_text(docs: DataFrame, documents: DataFrame, pieces: DataFrame) -> DataFrame:
+    """A row of ``docs`` (all its columns) for each epoch in which ``pieces`` takes words of it, with ``text`` and ``n_chars`` of what is taken.
+
+    A text taken whole stays as it is; of a cut one the taken words are joined by single spaces. Rows that share doc_id, source and
+    size are told apart by their order (texts on one side, places on the other).
+    """
+    key = F.xxhash64("doc_id", "source", "size")
+    runs = pieces.groupBy("source", "at", "doc_id", "size", "epoch").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n"), F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("parts"))
+    ranked = documents.where("size > 0").withColumn("k", key).withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("doc_id", "source", "size", "at"))).select("k", "rn", *(F.col(c).alias(f"__{c}") for c in ("source", "at", "doc_id", "size")))
+    same = F.col("source").eqNullSafe(F.col("__source")) & (F.col("at") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("size") == F.col("__size"))
+    wanted = runs.join(ranked, same).select(F.col("k").alias("__k"), F.col("rn").alias("__rn"), F.col("n").alias("__n"), F.col("parts").alias("__parts"))
+    cols = docs.columns
+    sized = docs.withColumn("__n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    keyed = sized.withColumn("__key", F.xxhash64("doc_id", "source", "__n_words")).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("doc_id", "source", "__n_words", "text")))
+    got = keyed.join(wanted, (F.col("__key") == F.col("__k")) & (F.col("__nth") == F.col("__rn")))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int")))), " ")
+    text = F.when(F.col("__n") == F.col("__n_words"), F.col("text")).otherwise(cut)
+    return got.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*cols)
+
+
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each row of documents."""
     documents, pieces = mix(table(spark, sf_dir, "documents"))

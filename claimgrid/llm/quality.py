@@ -120,10 +120,10 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for b in it:
-            z = np.array([w[f] @ values(f) for f in map(features, b.column("__text").to_pylist())]) + w[-1]
+            z = np.array([w[f] @ values(f) for f in map(features, b.column("text").to_pylist())]) + w[-1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(batches, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return docs.select(*(c for c in keep if c != "text"), "text").mapInArrow(batches, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
