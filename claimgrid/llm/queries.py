@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, html_text, language, mixing, pii, quality, simhash, token_files
+from . import decontamination, embeddings, html_text, language, mixing, pii, quality, simhash, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": language.op6_language,
     "op7_quality": quality.op7_quality,
     "op8_pii": pii.op8_pii,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_embedding_neardup": embeddings.op10_embedding_neardup,
 }
 
