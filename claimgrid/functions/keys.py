@@ -45,7 +45,7 @@ def agent_key() -> Column:
 def hash_of(key: Column, nibbles: int = 14) -> Column:
     """Signed hash: half the range less the first ``nibbles`` hex digits of md5."""
     if nibbles > 15:
-        return (F.lit(1 << (4 * nibbles - 1)).cast("decimal(38,0)") - F.conv(F.substring(F.md5(key.cast("binary")), 1, nibbles), 16, 10).cast("decimal(38,0)")).cast("long")
+        return (F.lit(str(1 << (4 * nibbles - 1))).cast("decimal(38,0)") - F.conv(F.substring(F.md5(key.cast("binary")), 1, nibbles), 16, 10).cast("decimal(38,0)")).cast("long")
     return F.lit(1 << (4 * nibbles - 1)) - F.conv(F.substring(F.md5(key.cast("binary")), 1, nibbles), 16, 10).cast("long")
 
 

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 STMT_TYPE = "CASE WHEN l_returnflag = 'A' THEN 'Activation' WHEN l_returnflag = 'R' THEN 'Inhibition' WHEN l_partkey % 4 = 0 THEN 'Phosphorylation' WHEN l_partkey % 4 = 1 THEN 'Complex' WHEN l_partkey % 4 = 2 THEN 'IncreaseAmount' ELSE 'DecreaseAmount' END"
 SOURCE = "CASE l_linenumber % 4 WHEN 0 THEN 'reach' WHEN 1 THEN 'sparser' WHEN 2 THEN 'signor' ELSE 'biopax' END"
 #: The same rows in SQL, for the oracles.
-RAW_SQL = f"""raw AS (SELECT l_orderkey * 8 + l_linenumber AS stmt_id, {STMT_TYPE} AS stmt_type, l_suppkey AS s, l_partkey AS p,
+RAW_SQL = f"""raw AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS stmt_id, {STMT_TYPE} AS stmt_type, l_suppkey AS s, l_partkey AS p,
  'HGNC:' || l_suppkey AS sk, CASE WHEN l_partkey % 7 = 0 THEN 'part' || l_partkey ELSE 'UP:' || l_partkey END AS pk,
  'supp' || l_suppkey AS sn, 'part' || l_partkey AS pn, l_partkey % 7 <> 0 AS p_grounded,
  CASE WHEN l_returnflag = 'N' AND l_partkey % 4 = 0 AND l_suppkey % 2 = 0 THEN 'S' END AS residue,
@@ -33,7 +33,7 @@ st AS (SELECT *, 36028797018963968 - ('0x' || substr(md5(mk), 1, 14))::BIGINT AS
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     li = table(spark, sf_dir, "lineitem")
-    sid = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("stmt_id")
+    sid = (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("stmt_id")
     site = (F.col("l_returnflag") == "N") & (F.col("l_partkey") % 4 == 0)
     statements = li.select(
         sid, F.expr(STMT_TYPE).alias("stmt_type"),
