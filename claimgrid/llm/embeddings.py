@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from .common import checkpoint, connected_components, table, written
 
 COSINE = 0.98
-SHARD = 1500
+SHARD = 600
 FANOUT = 32
-LEVELS = 6
+#: Cosine above which two pivots count as one.
+APART = 0.9
+LEVELS = 5
 DEGREE = 32
 CANDIDATES = 64
 NEAREST = 6
@@ -180,6 +182,15 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("vec_id", "key"), nodes.select("key", "node", "label", F.size("embedding").alias("dim"), "embedding", "copies")
 
 
+def spread(pivots: np.ndarray) -> np.ndarray:
+    """Pivots, in order, without those near an earlier one, so a dense group is not cut up by pivots of its own."""
+    kept: list[int] = []
+    for i in range(len(pivots)):
+        if len(kept) < FANOUT and (not kept or (pivots[kept] @ pivots[i]).max() < APART):
+            kept.append(i)
+    return pivots[kept]
+
+
 def shards_of(nodes: DataFrame, overlap: int, shard: int = SHARD) -> DataFrame:
     """(shard, node, label, embedding, copies): each node in its ``overlap`` nearest shards at every level."""
     now = nodes.select(F.xxhash64("label", "dim").alias("shard"), "node", "embedding", "copies")
@@ -195,13 +206,13 @@ def shards_of(nodes: DataFrame, overlap: int, shard: int = SHARD) -> DataFrame:
         # pivots: about as many as shards are wanted, by a hash, FANOUT at most
         want = F.least(F.lit(FANOUT), F.ceil(F.col("size") / shard * overlap * 1.5).cast("int"))
         lot = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
-        chosen = now.join(large, "shard").where(lot < want * 2 / F.col("size")).groupBy("shard").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "embedding"))), 1, FANOUT).alias("p"))
+        chosen = now.join(large, "shard").where(lot < want * 2 / F.col("size")).groupBy("shard").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "embedding"))), 1, 2 * FANOUT).alias("p"))
         pivots = chosen.select("shard", F.col("p.embedding").alias("pivots")).where(F.size("pivots") > 1)
 
         def deal(it, overlap=overlap):
             for pdf in it:
                 for _, own in pdf.groupby("shard", sort=False):
-                    p = unit(own["pivots"].iloc[0])
+                    p = spread(unit(own["pivots"].iloc[0]))
                     order = np.argsort(-(unit(own["embedding"]) @ p.T), axis=1, kind="stable")[:, :overlap]
                     k = order.shape[1]
                     yield pd.DataFrame({"parent": np.repeat(own["shard"].to_numpy(), k), "k": order.ravel(), "node": np.repeat(own["node"].to_numpy(), k), "embedding": own["embedding"].repeat(k).to_numpy(), "copies": np.repeat(own["copies"].to_numpy(), k)})
@@ -278,7 +289,8 @@ def near_duplicates(vectors: DataFrame, overlap: int = 2, target: float = TARGET
     for more in range(overlap, overlap + 3):
         found = checkpoint(links_of(nodes, more))
         counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "node")
-        if audit(nodes, counts) >= target:
+        recall = audit(nodes, counts)
+        if recall >= target:
             break
     groups = connected_components(found.where("v is not null").select("u", "v"))
     named = nodes.select("key", "node", "copies").join(counts, "node", "left").join(groups, "node", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
