@@ -28,10 +28,10 @@ def infer_complexes(c: Corpus) -> DataFrame:
 def infer_activations(c: Corpus) -> DataFrame:
     """A modification that makes an active (or inactive) form activates (or inhibits) its substrate."""
     w = wide(c)
-    forms = w.where("stmt_type = 'ActiveForm'").select(F.col("stmt_id").alias("f"), F.col("a0_k").alias("k"), "is_active", F.explode("a0_mods").alias("m")).select("f", "k", "is_active", F.try_element_at(_mod_types(), F.col("m.mod_type")).alias("t"), F.col("m.residue").alias("r"), F.col("m.position").alias("p"))
+    forms = w.where("stmt_type = 'ActiveForm'").select(F.col("stmt_id").alias("f"), F.col("a0_k").alias("k"), F.col("is_active").alias("on"), F.explode("a0_mods").alias("m")).select("f", "k", "on", F.try_element_at(_mod_types(), F.col("m.mod_type")).alias("t"), F.col("m.residue").alias("r"), F.col("m.position").alias("p"))
     mods = w.where(F.col("stmt_type").isin(*ADDING) & F.col("a0_k").isNotNull())
     hit = mods.join(forms, (F.col("a1_k") == F.col("k")) & (F.col("stmt_type") == F.col("t")) & F.col("residue").eqNullSafe(F.col("r")) & F.col("position").eqNullSafe(F.col("p")))
-    return hit.select(F.array("stmt_id", "f").alias("sources"), F.when(F.col("is_active"), "Activation").otherwise("Inhibition").alias("stmt_type"), F.col("a0_k").alias("a"), F.col("a1_k").alias("b")).distinct()
+    return hit.select(F.array("stmt_id", "f").alias("sources"), F.when(F.col("on"), "Activation").otherwise("Inhibition").alias("stmt_type"), F.col("a0_k").alias("a"), F.col("a1_k").alias("b")).distinct()
 
 
 def infer_active_forms(c: Corpus) -> DataFrame:
