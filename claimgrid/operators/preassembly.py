@@ -61,11 +61,14 @@ def refinements(c: Corpus, closed: DataFrame, with_state: bool = True, split: Da
 
     Symmetric types need as many members and a member above each (a matching for up to three members is exact here). ``split(stmt_id, side)`` keeps pairs across sides only.
     """
+    # both tables are used several times: without this the corpus would be worked out for each use
+    c = c.with_(statements=checkpoint(c.statements), agents=checkpoint(c.agents))
     state = ["stmt_id", "idx", F.col("mods"), F.col("mutations"), F.col("bound"), F.col("activity").alias("act"), "location"]
     keys = c.agents.select("stmt_id", "idx", F.coalesce(entity_key(F.col("name"), F.col("db_refs")), F.lit(ABSENT)).alias("k"))
     typed = c.statements.select("stmt_id", "stmt_type", F.col("stmt_type").isin(*SYMMETRIC).alias("sym"))
     size = keys.groupBy("stmt_id").agg(F.count("*").alias("n"))
     rows = keys.join(typed, "stmt_id").join(size, "stmt_id").withColumn("role", F.when(F.col("sym"), -1).otherwise(F.col("idx"))).select("stmt_id", "stmt_type", "n", "role", "idx", "k")
+    rows = checkpoint(rows)
     up = reach(closed)
     mine = rows.withColumn("target", F.col("k")).union(rows.join(up, "k").select("stmt_id", "stmt_type", "n", "role", "idx", "k", F.col("up").alias("target"))).union(rows.where(F.col("k") != ABSENT).withColumn("target", F.lit(ABSENT)))
     general = rows.select(F.col("stmt_id").alias("refined"), "stmt_type", "n", "role", F.col("idx").alias("g_idx"), F.col("k").alias("target"))
@@ -73,6 +76,7 @@ def refinements(c: Corpus, closed: DataFrame, with_state: bool = True, split: Da
     freq = rows.groupBy("stmt_type", "role", F.col("k").alias("target")).agg(F.count("*").alias("f"))
     lead = general.join(freq, ["stmt_type", "role", "target"]).groupBy("refined").agg(F.min(F.struct(F.when(F.col("target") == ABSENT, 1).otherwise(0).alias("abs"), "f", "g_idx")).alias("l")).select("refined", F.col("l.g_idx").alias("g_idx"))
     proposed = general.join(lead, ["refined", "g_idx"]).join(mine, ["stmt_type", "n", "role", "target"]).where("stmt_id <> refined").select(F.col("stmt_id").alias("refiner"), "refined").distinct()
+    proposed = checkpoint(proposed)
     need = general.select("refined", "role", "g_idx", "target", "n")
     met = proposed.join(need, "refined").join(mine.select(F.col("stmt_id").alias("refiner"), "role", "idx", "target"), ["refiner", "role", "target"])
     enough = met.groupBy("refiner", "refined").agg(F.countDistinct("g_idx").alias("a"), F.countDistinct("idx").alias("b"), F.max("n").alias("n")).where("a = n and b = n").select("refiner", "refined")
