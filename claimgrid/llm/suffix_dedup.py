@@ -34,6 +34,8 @@ WINDOW, GRAM = 200, 40
 CHUNK = 1 << 20
 PIECE = 1 << 20
 HOT = 2000
+#: A class with more than one in SHARE rows counts as frequent; there are fewer than SHARE of them at any size.
+SHARE = 1000
 M64 = (1 << 64) - 1
 #: Bounds of the bitmaps: 2**20 to 2**28 bits.
 LEAST_BITS, MOST_BITS, PART_BITS = 20, 28, 19
@@ -244,7 +246,13 @@ def repeats(rows: DataFrame, hot: int = HOT) -> DataFrame:
     classes = checkpoint(found.groupBy("key", "span").agg(F.count("*").alias("n")))
     per_key = classes.groupBy("key").agg(F.count("*").alias("spans"))
     mixed = checkpoint(per_key.where("spans > 1"))
-    whole = found.select("key", "span", "t1", "t2", "packed").join(classes.where("n > 1").select("key", "span"), ["key", "span"])
+    # classes with over a share of all rows are at most SHARE, so they go out by broadcast and their rows need no shuffle
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = F.col("n") * SHARE > total
+    frequent = F.broadcast(checkpoint(classes.where(common & (F.col("n") > 1)).select("key", "span")))
+    rows_only = found.select("key", "span", "t1", "t2", "packed")
+    rest = rows_only.join(frequent, ["key", "span"], "left_anti")
+    whole = rows_only.join(frequent, ["key", "span"]).union(rest.join(classes.where(~common & (F.col("n") > 1)).select("key", "span"), ["key", "span"]))
     first, length = F.shiftright("packed", 16), F.col("packed").bitwiseAND(F.lit(255))
     out = whole.select("t1", "t2", first.alias("lo"), (first + length).alias("hi"))
     # distinct spans of keys whose occurrences differ
@@ -257,7 +265,7 @@ def repeats(rows: DataFrame, hot: int = HOT) -> DataFrame:
         windows = checkpoint(large.select("key", "span", "bytes").mapInArrow(_windows, "key long, span long, a long, h1 long, h2 long"))
         twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
         runs = runs.union(windows.join(twice, ["h1", "h2"]).select("key", "span", "a", F.col("a").alias("z")))
-    single = found.select("key", "span", "t1", "t2", "packed").join(classes.where("n = 1").select("key", "span").join(mixed.select("key"), "key"), ["key", "span"])
+    single = rest.join(classes.where("n = 1").select("key", "span").join(mixed.select("key"), "key"), ["key", "span"])
     parts = single.join(runs, ["key", "span"]).select("t1", "t2", (first + F.col("a")).alias("lo"), (first + F.col("z")).alias("hi"))
     return out.union(parts)
 
