@@ -18,13 +18,16 @@ ABSENT = "~"
 
 
 def combine_duplicates(c: Corpus) -> Corpus:
-    """One assertion for each key, its stmt_id the least of the group; evidence is united and equal evidence kept once."""
+    """One assertion for each key, its stmt_id the least of the group; evidence is united and equal evidence kept once.
+
+    Rows that repeat a stmt_id count once: the joins have dealt them by stmt_id already, so that needs no further shuffle.
+    """
     keyed = statement_keys(c).select("stmt_id", "mk_hash")
     to = keyed.groupBy("mk_hash").agg(F.min("stmt_id").alias("__to"))
     ids = keyed.join(to, "mk_hash").select("stmt_id", "__to", "mk_hash")
     heads = to.select(F.col("__to").alias("stmt_id"), "mk_hash")
-    statements = c.statements.join(heads, "stmt_id")
-    agents = c.agents.join(heads.select("stmt_id"), "stmt_id", "left_semi")
+    statements = c.statements.join(heads, "stmt_id").dropDuplicates(["stmt_id"])
+    agents = c.agents.join(heads.select("stmt_id"), "stmt_id", "left_semi").dropDuplicates(["stmt_id", "idx"])
     evidence = c.evidence.join(ids, "stmt_id").withColumn("stmt_id", F.col("__to")).withColumn("__ek", evidence_key()).dropDuplicates(["stmt_id", "__ek"]).drop("__to", "__ek", "mk_hash")
     return c.with_(statements=statements, agents=agents, evidence=evidence)
 
