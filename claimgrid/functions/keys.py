@@ -50,8 +50,8 @@ def hash_of(key: Column, nibbles: int = 14) -> Column:
 
 
 def statement_keys(c: Corpus) -> DataFrame:
-    """Statements with mk (type, arguments in role order or sorted, site, activity) and mk_hash."""
-    args = c.agents.select("stmt_id", "idx", F.coalesce(agent_key(), F.lit("~")).alias("k")).groupBy("stmt_id").agg(F.array_sort(F.collect_list(F.struct("idx", "k"))).alias("__args"))
+    """Statements with mk (type, arguments in role order or sorted, site, activity) and mk_hash; repeated rows of an argument count once."""
+    args = c.agents.select("stmt_id", "idx", F.coalesce(agent_key(), F.lit("~")).alias("k")).groupBy("stmt_id").agg(F.array_sort(F.collect_set(F.struct("idx", "k"))).alias("__args"))
     flat = F.transform("__args", lambda a: a["k"])
     parts = F.when(F.col("stmt_type").isin(*SYMMETRIC), F.array_sort(flat)).otherwise(flat)
     tail = F.concat_ws("|", *(F.coalesce(F.col(x).cast("string"), F.lit("~")) for x in ("residue", "position", "activity", "is_active", "from_location", "to_location")))

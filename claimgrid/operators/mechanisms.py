@@ -101,3 +101,29 @@ def add_reverse_effects(c: Corpus) -> DataFrame:
     undo = get("Phosphorylation").join(get("Dephosphorylation"), site, "left_anti").select(F.lit("Dephosphorylation").alias("stmt_type"), *site)
     down = get("IncreaseAmount").select("k").distinct().join(get("DecreaseAmount").select("k"), "k", "left_anti").select(F.lit("DecreaseAmount").alias("stmt_type"), "k", F.lit("~").alias("residue"), F.lit("~").alias("position"))
     return undo.union(down)
+
+
+def require_active_forms(c: Corpus) -> Corpus:
+    """Modifications and regulations once for each active form of their first argument, which takes on that form's modifications and partners.
+
+    Assertions whose first argument has no active form stay as they are. New ids are hashes of the old id and the form, evidence goes along.
+    """
+    first = c.agents.where("idx = 0")
+    forms = c.statements.where("stmt_type = 'ActiveForm' and is_active").select("stmt_id").join(first, "stmt_id").select(F.col("name").alias("__n"), F.col("mods").alias("__mods"), F.col("bound").alias("__bound"))
+    forms = forms.withColumn("__f", F.xxhash64(F.to_json(F.struct("__mods", "__bound")))).dropDuplicates(["__n", "__f"])
+    kinds = sorted({*ADDING, *REMOVING, *descendants("RegulateAmount"), *descendants("RegulateActivity")})
+    who = c.statements.where(F.col("stmt_type").isin(*kinds)).select("stmt_id").join(first.select("stmt_id", "name"), "stmt_id")
+    hit = who.join(forms, F.col("name") == F.col("__n")).select("stmt_id", F.xxhash64("stmt_id", "__f").alias("__new"), "__mods", "__bound")
+    renamed = lambda df: df.join(hit.select("stmt_id", "__new"), "stmt_id", "left").withColumn("stmt_id", F.coalesce("__new", "stmt_id")).select(*df.columns)
+    both = lambda own, more: F.when((F.col("idx") == 0) & F.col("__new").isNotNull() & F.col(more).isNotNull(), F.concat(F.coalesce(F.col(own), F.slice(more, 1, 0)), F.col(more))).otherwise(F.col(own))
+    agents = c.agents.join(hit, "stmt_id", "left").withColumn("mods", F.array_distinct(both("mods", "__mods"))).withColumn("bound", both("bound", "__bound")).withColumn("stmt_id", F.coalesce("__new", "stmt_id")).select(*c.agents.columns)
+    return c.with_(statements=renamed(c.statements), agents=agents, evidence=renamed(c.evidence), refinements=None)
+
+
+def reduce_activities(c: Corpus) -> Corpus:
+    """The unspecific activity of a regulation's object becomes the one specific activity that the corpus knows of it; with none or several it stays."""
+    one = gather_activities(c).withColumn("a", F.filter("activities", lambda a: a != "activity")).where(F.size("a") == 1).select(F.col("name").alias("__n"), F.col("a")[0].alias("__a"))
+    obj = c.agents.where("idx = 1").select("stmt_id", "name").join(one, F.col("name") == F.col("__n")).select("stmt_id", "__a")
+    st = c.statements.join(obj, "stmt_id", "left")
+    plain = F.col("stmt_type").isin(*descendants("RegulateActivity")) & (F.coalesce("activity", F.lit("activity")) == "activity")
+    return c.with_(statements=st.withColumn("activity", F.when(plain & F.col("__a").isNotNull(), F.col("__a")).otherwise(F.col("activity"))).select(*c.statements.columns))

@@ -183,3 +183,39 @@ def test_incremental_counts(spark, tmp_path):
     last = sorted(p.name for p in (tmp_path / "counts").iterdir())[-1]
     got = {(r["mk_hash"], r["source_api"]): r["n"] for r in spark.read.parquet(str(tmp_path / "counts" / last)).collect()}
     assert got == {(1, "reach"): 2, (0, "signor"): 1, (1, "signor"): 1}
+
+
+def test_exports(spark, small, tmp_path):
+    lines = {r[0].strip() for r in sinks.graphviz(small).collect()}
+    assert '"A" -> "B" [arrowhead=tee];' in lines and '"B" -> "zz" [arrowhead=dot];' in lines and '"zz" -> "B" [arrowhead=dot];' not in lines
+    cards = {r["stmt_id"]: json.loads(r["value"]) for r in sinks.index_cards(small).collect()}
+    assert cards[1]["interaction"]["interaction_type"] == "adds_modification" and cards[1]["interaction"]["modifications"][0]["location"] == "222"
+    assert cards[1]["interaction"]["participant_a"]["identifier"] == "HGNC:1" and [m["entity_text"] for m in cards[5]["interaction"]["entities"]] == ["B", "zz"]
+    assert cards[5]["interaction"]["entities"][1]["identifier"] == "GENERIC"
+    got = sinks.cx(small).groupBy("aspect").count().collect()
+    assert {r["aspect"] for r in got} == {"nodes", "edges", "edgeCitations"}
+    sinks.write_cx(small, str(tmp_path / "cx"))
+    sinks.write_graphviz(small, str(tmp_path / "dot"))
+    assert (tmp_path / "cx" / "aspect=nodes").exists() and (tmp_path / "dot" / "body").exists()
+    assert sinks.cx(empty_corpus(spark)).count() == 0 and sinks.graphviz(empty_corpus(spark)).count() == 0
+
+
+def test_active_forms_and_activities(spark):
+    mods = [("phosphorylation", "S", "1", True)]
+    c = corpus(spark, [stmt(1, "Phosphorylation"), stmt(2, "ActiveForm", activity="activity", is_active=True), stmt(3, "ActiveForm", activity="activity", is_active=True), stmt(4, "Activation"), stmt(5, "Activation", activity="kinase")], [agent(1, 0, "A"), agent(1, 1, "B"), agent(2, 0, "A", mods=mods), agent(3, 0, "A", mods=[("phosphorylation", "T", "2", True)]), agent(4, 0, "C"), agent(4, 1, "B"), agent(5, 0, "C"), agent(5, 1, "B")], [ev(1, "reach")])
+    out = mechanisms.require_active_forms(c)
+    assert out.statements.groupBy("stmt_type").count().where("stmt_type = 'Phosphorylation'").first()["count"] == 2 and out.statements.count() == 6 and out.evidence.count() == 2
+    one = out.statements.where("stmt_type = 'Phosphorylation'").join(out.agents.where("idx = 0"), "stmt_id").select(F.col("mods")[0]["position"]).collect()
+    assert sorted(r[0] for r in one) == ["1", "2"]
+    assert {r["stmt_id"]: r["activity"] for r in mechanisms.reduce_activities(c).statements.where("stmt_type = 'Activation'").collect()} == {4: "kinase", 5: "kinase"}
+
+
+def test_influence_map(spark):
+    from claimgrid.operators import influence
+
+    e = spark.createDataFrame([("a", "a", 1), ("a", "b", 1), ("b", "a", 1), ("a", "c", 1), ("b", "c", -1), ("p", "a", 1), ("x", "y", 1), ("y", "x", 1), ("x", "c", 1)], "u string, v string, sign int")
+    kept = influence.prune_mutual(e, spark.createDataFrame([("p",)], "node string"))
+    assert sorted((r["u"], r["v"]) for r in kept.collect()) == [("a", "c"), ("b", "c"), ("x", "c"), ("x", "y"), ("y", "x")]
+    rules = spark.createDataFrame([("a", "DecreaseAmount", "S", "T"), ("b", "Complex", "U", "V"), ("c", "Complex", "T", None)], "rule string, kind string, subject string, object string")
+    assert ("a", "b") not in {(r["u"], r["v"]) for r in influence.prune_subject_object(e, rules).collect()} and influence.prune_subject_object(e, rules).where("u = 'a' and v = 'c'").count() == 1
+    assert influence.prune_degraded(e, rules).where("u = 'a' and v = 'c'").count() == 0 and influence.prune_degraded(e, rules).where("u = 'b' and v = 'c'").count() == 1
