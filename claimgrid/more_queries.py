@@ -190,6 +190,16 @@ def linked_belief(spark, d):
     return out.join(n, "inferred").select("inferred", F.round(F.ln("belief") / F.col("n"), 6).alias("mean_log"))
 
 
+@query(DEDUP + "SELECT stmt_type, pn, count(*) AS n, round(product(belief), 9) AS belief FROM d JOIN bel USING (mk_hash) GROUP BY stmt_type, pn")
+def linked_belief_all(spark, d):
+    """Every distinct assertion is a source of one inferred by its type and object."""
+    c = belief.set_prior_probs(dedup(spark, d))
+    inferred = F.struct("stmt_type", F.col("name").alias("pn")).alias("inferred")
+    linked = c.statements.join(c.agents.where("idx = 1").select("stmt_id", "name"), "stmt_id").select(inferred, F.col("stmt_id").alias("source"))
+    out = belief.linked_probs(linked, c.statements.select("stmt_id", "belief")).join(linked.groupBy("inferred").agg(F.count("*").alias("n")), "inferred")
+    return out.select("inferred.stmt_type", "inferred.pn", "n", F.round("belief", 9).alias("belief"))
+
+
 @query(EDGES + ', sc AS (SELECT a, b, src, count(*) AS n FROM e JOIN ev USING (mk_hash) GROUP BY ALL) SELECT a AS "agA_name", b AS "agB_name", round(1 - product(syst + pow(rnd, n)), 9) AS belief FROM sc JOIN syst USING (src) GROUP BY a, b')
 def edge_scorer_belief(spark, d):
     return network.simple_scorer_belief(edge_table(spark, d)).withColumn("belief", F.round("belief", 9))

@@ -27,3 +27,12 @@ def test_query(spark, name):
     want = con.execute(entry.oracle_sql()[name]).df()
     got = entry.queries()[name](spark, str(SF)).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no tables")
+def test_linked_belief_of_every_assertion(spark):
+    import __spark_entry__ as entry
+
+    test_query(spark, "linked_belief_all")
+    known = entry.queries()
+    assert known["linked_belief_all"](spark, str(SF)).groupBy().sum("n").first()[0] == known["combine_duplicates"](spark, str(SF)).count()
