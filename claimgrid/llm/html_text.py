@@ -3,15 +3,19 @@
 The trees of all pages of a host are merged: a node is known by its path of tags and classes, and for each node the
 host's pages are counted by presentation (the sequence of its children) and by content (its text). Importance is
 entropy, 1 when every page differs and 0 when all agree: ``(1 - g**l) * presentation + g**l * content`` with g = 0.9 and l
-presentations. Branches of low importance are removed from each page.
+presentations. Branches of low importance are removed from each page; equal pages of a host count once. Neither html nor body is
+removed, nor a branch with over three quarters of a page's text, nor one with over half of it some of which lies in important nodes;
+and where nothing would be left, all stays.
 
 Entropy alone keeps menus whose links differ from page to page and drops the articles of mirrored pages, so two things are
 known beforehand: what lies in an article (or main) element is the page's text and is not removed for being repeated; and menus,
 headers, footers, sidebars, notices, adverts, forms and comments that say so by tag, role or class are unimportant anywhere. The
-tree decides on everything else, that is the pages without such an element.
+tree decides on everything else, that is the pages without such an element. An article (or main) in a wrapper whose class only
+sounds like one of these (say has-sidebar) is added to that, unless the page has an article with at least as much text elsewhere;
+one in a wrapper for comments is added only where nothing else is found.
 
-Scale: pages are parsed where they are read, first for the counts (rows by host, node and hash, combined before the shuffle, so a
-host with a third of all pages is no hot key), then for the text. The list of unimportant nodes is broadcast up to ``LISTED`` entries;
+Scale: pages are parsed where they are read, first for the counts (a row of hashes for each page, equal ones combined before the
+shuffle, then rows by host, node and hash, combined too, so a host with a third of all pages is no hot key), then for the text. The list of unimportant nodes is broadcast up to ``LISTED`` entries;
 above that the pages are joined with the rows of their own nodes.
 
 Cases: null and empty pages give an empty text; unclosed and misplaced tags are repaired as browsers do in the common cases; a null url is
@@ -21,6 +25,7 @@ a host of its own; repeated rows each get a row; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -44,6 +49,9 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus respond reply replies widget login search pagination pager toolbar copyright disclaimer".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
+#: What condemns a branch: a wrapper's class, a wrapper's class for comments, or what holds for an article inside, too.
+BY_CLASS, BY_COMMENTS, WHOLLY = 1, 2, 3
 #: An open element that a start tag of the same group ends.
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = frozenset("article main table ul ol dl body html div section".split())
@@ -55,10 +63,10 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "key", "bad", "inside", "kids", "texts", "mark")
+    __slots__ = ("tag", "key", "bad", "inside", "lifted", "kids", "texts", "mark")
 
-    def __init__(self, tag: str, key: int, bad: bool, inside: str):
-        self.tag, self.key, self.bad, self.inside = tag, key, bad, inside
+    def __init__(self, tag: str, key: int, bad: int, inside: str, lifted: int = 0):
+        self.tag, self.key, self.bad, self.inside, self.lifted = tag, key, bad, inside, lifted
         self.kids: list[str] = []
         self.texts: list[str] = []
         self.mark = ""
@@ -109,24 +117,25 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             i = n if k < 0 else k + 1
 
 
-def unimportant(tag: str, attrs: str) -> tuple[bool, str]:
-    """Whether tag, role or class say that the branch is not the text; and the class and id as part of the node's name."""
+def unimportant(tag: str, attrs: str) -> tuple[int, str]:
+    """What says that the branch is not the text (0: nothing, else the tag, role or class); and the class and id as part of the node's name."""
     if tag in DROPPED:
-        return True, ""
+        return WHOLLY, ""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False, ""
+        return 0, ""
     got = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRS.finditer(attrs)}
     name = got.get("class", "") + "#" + re.sub(r"\d+", "", got.get("id", ""))
-    if tag in ("html", "body", "article", "main") and "comment" not in name:
-        return False, name
+    if tag in ("html", "body") or tag in ("article", "main") and "comment" not in name:
+        return 0, name
     if got.get("role") in DROPPED_ROLES or "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
-        return True, name
-    return not DROPPED_WORDS.isdisjoint(WORDS.findall(name)), name
+        return WHOLLY, name
+    words = DROPPED_WORDS.intersection(WORDS.findall(name))
+    return (0 if not words else BY_COMMENTS if words & COMMENT_WORDS else BY_CLASS), name
 
 
 def parse(html: str | None) -> tuple[list[tuple[str, list[Node]]], list[Node], str]:
     """Blocks of text with their ancestors, all structural nodes, and the element that holds the text (article, main or none)."""
-    root = Node("", 0, False, "")
+    root = Node("", 0, 0, "")
     stack, nodes, blocks, buffer = [root], [], [], []
     held = ""
 
@@ -166,12 +175,17 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[Node]]], list[Node], s
             up = stack[-1]
             inside = name if name == "article" or name == "main" and up.inside != "article" else up.inside
             if name == "header" and inside != "article":
-                bad = True
-            node = Node(name, xxh64_intdigest(f"{up.key}>{name}.{label}"), bad or up.bad, inside)
-            if not node.bad and inside and held != "article":
+                bad = WHOLLY
+            lifted = up.lifted
+            if name in ("article", "main") and not bad and 0 < up.bad < WHOLLY:
+                lifted = max(lifted, up.bad)
+            elif up.bad:
+                bad = max(bad, up.bad)
+            node = Node(name, xxh64_intdigest(f"{up.key}>{name}.{label}"), bad, inside, lifted)
+            if not node.bad and not lifted and inside and held != "article":
                 held = inside
             up.kids.append(f"{name}.{label}")
-            if not up.bad:
+            if not up.bad and not up.lifted:
                 nodes.append(node)
             stack.append(node)
         else:
@@ -196,24 +210,32 @@ def signed(x: int) -> int:
 
 
 def counts(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, hash) of every page's nodes: kind 0 is presentation, 1 content. Nodes in an article are not asked about."""
+    """(host, node, kind, hash) of the nodes of every page, equal pages of a host once: kind 0 is presentation, 1 content. Nodes in an article are not asked about."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out: list[tuple[int, int, int, int]] = []
+            hosts, equal, lists = [], [], []
+            seen: set[tuple[int, int]] = set()
             for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                host = signed(xxh64_intdigest(host_of(url) or ""))
+                host, page = signed(xxh64_intdigest(host_of(url) or "")), signed(xxh64_intdigest(html or ""))
+                if (host, page) in seen:
+                    continue
+                seen.add((host, page))
                 by: dict[int, list[Node]] = {}
                 for x in parse(html)[1]:
                     if x.inside != "article":
                         by.setdefault(x.key, []).append(x)
-                for key, own in by.items():
-                    out.append((host, signed(key), 0, signed(xxh64_intdigest("|".join(",".join(x.kids) for x in own)))))
-                    out.append((host, signed(key), 1, signed(xxh64_intdigest("|".join("\n".join(x.texts) for x in own)))))
-            cols = np.array(out, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[:, 0]), pa.array(cols[:, 1]), pa.array(cols[:, 2].astype(np.int32)), pa.array(cols[:, 3])], names=["host", "node", "kind", "hash"])
+                if by:
+                    hosts.append(host)
+                    equal.append(page)
+                    out = [(key, xxh64_intdigest("|".join(",".join(x.kids) for x in own)), xxh64_intdigest("|".join("\n".join(x.texts) for x in own))) for key, own in by.items()]
+                    lists.append(np.array(out, np.uint64).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(equal, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["host", "page", "nodes"])
 
-    return pages.select("url", "html").mapInArrow(batches, "host long, node long, kind int, hash long")
+    each = pages.select("url", "html").mapInArrow(batches, "host long, page long, nodes array<long>").groupBy("host", "page").agg(F.first("nodes").alias("nodes"))
+    rows = each.select("host", F.explode(F.sequence(F.lit(1), F.size("nodes"), F.lit(3))).alias("i"), "nodes")
+    rows = rows.select("host", F.element_at("nodes", F.col("i")).alias("node"), F.posexplode(F.slice("nodes", F.col("i") + 1, 2)).alias("kind", "hash"))
+    return rows.select("host", "node", "kind", "hash")
 
 
 def importance(rows: DataFrame) -> DataFrame:
@@ -229,17 +251,28 @@ def importance(rows: DataFrame) -> DataFrame:
 def main_text(html: str | None, low) -> str:
     """Text of a page; ``low(key)`` tells if a node is unimportant on its host."""
     blocks, _, held = parse(html)
-    out = []
-    for text, above in blocks:
-        if above and above[-1].bad:
-            continue
-        if held:
-            if not above or above[-1].inside != held:
-                continue
-        elif any(low(x.key) for x in above):
-            continue
-        out.append(text)
-    return "\n".join(out)
+    fine = [(text, above) for text, above in blocks if not (above and above[-1].bad)]
+    share: Counter[int] = Counter()
+    total, mixed = sum(len(text) for text, _ in fine), set()
+    for text, above in () if held else fine:
+        share.update({id(x): len(text) for x in above})
+        if above and not low(above[-1].key):
+            mixed.update(map(id, above))
+    stays = lambda x: x.tag in ("html", "body") or share[id(x)] > total * (0.5 if id(x) in mixed else 0.75)
+    found, lifted = [], []
+    for i, (text, above) in enumerate(fine):
+        if above and above[-1].lifted:
+            lifted.append(i)
+        elif held:
+            if above and above[-1].inside == held:
+                found.append(i)
+        elif not any(low(x.key) and not stays(x) for x in above):
+            found.append(i)
+    size = lambda places: sum(len(fine[i][0]) for i in places)
+    plain = [i for i in lifted if fine[i][1][-1].lifted == BY_CLASS]
+    if held != "article" or size(plain) > size(found):
+        found += plain
+    return "\n".join(fine[i][0] for i in sorted(found or lifted or range(len(fine))))
 
 
 def _texts(it: Iterator[pa.RecordBatch], keep: tuple[str, ...], low_of) -> Iterator[pa.RecordBatch]:

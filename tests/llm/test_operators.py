@@ -229,6 +229,27 @@ def test_html_articles_and_style_tree(spark):
     assert html_text.extract(p.limit(0)).count() == 0
 
 
+def test_html_mirrored_pages_keep_their_text(spark):
+    body = lambda i: page(f'<div class="top"><p>Same words</p></div><div class="body"><p>{"y" * 40} text {i} of many</p></div>')
+    rows = [(i, f"http://m.example/{i}", body(max(i, 150))) for i in range(200)]
+    rows += [(300 + i, f"http://three.example/{i}", page("<div><p>only text here</p></div>")) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"text {max(i, 150)} of many" in got[i] and "Same" not in got[i] for i in range(200))
+    assert all(got[300 + i] == "only text here" for i in range(3))
+    # nodes that hold most of a page stay, however often their text is repeated
+    assert html_text.main_text(body(1), lambda k: True) == "y" * 40 + " text 1 of many"
+
+
+def test_html_wrappers_do_not_condemn_articles():
+    text = lambda body: html_text.main_text(page(body), lambda k: False)
+    assert text("<div class='layout has-sidebar'><article>kept</article><div class='sidebar'>side</div></div>") == "kept"
+    assert text("<main><div class='layout has-sidebar'><article>kept</article></div></main>") == "kept"
+    assert text("<div class='with-comments'><article>kept</article></div>") == "kept"
+    assert text("<article>kept whole</article><div class='related'><article>other</article></div>") == "kept whole"
+    assert text("<div class='content'><p>kept</p></div><div class='comments'><article>nice</article></div>") == "kept"
+    assert html_text.main_text("<body class='single comments-open'><p>kept</p></body>", lambda k: False) == "kept"
+
+
 # 6, 7
 
 
