@@ -6,10 +6,11 @@ level). Each shard builds a graph: its nearest candidates, robust-pruned, with r
 of a node's shards are united. Then every node is a query: from the shard's medoid a greedy walk makes ``HOPS``
 expansions and goes on while it finds nodes in range, and what it finds is verified in double precision. Shards give
 counts and a spanning forest, not pairs; a pair that shares several shards counts in the least of them.
-Shards that no pivots split (many nearly equal vectors) are compared exactly, as blocks against blocks.
+Shards that no pivots split (many nearly equal vectors) are compared exactly, as blocks against blocks; a pair that shares
+such shards counts in the least of these, as nothing is missed there.
 
 ``audit`` compares the links of every vector whose id is divisible by 50 with brute force against all rows, in blocks; below
-``TARGET`` recall the build is repeated with more overlap.
+``TARGET`` recall the build is repeated with more overlap. More links than there are, or a recall below ``LEAST`` at the last build, is an error.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or vec_id,
 link with nothing; vectors of different lengths never link; repeated rows are vectors of their own; empty in, empty out.
@@ -37,6 +38,7 @@ ALPHA = 1.2
 HOPS = 24
 BLOCK = 1024
 TARGET = 0.98
+LEAST = 0.9
 
 
 def unit(vectors) -> np.ndarray:
@@ -151,6 +153,25 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "near": [ids[a].tolist() for a in lists]})
 
 
+NONE = np.iinfo(np.int64).max
+
+
+def least_common(left, q: np.ndarray, right, c: np.ndarray) -> np.ndarray:
+    """Least shard in both the list ``left[q]`` and ``right[c]`` of each pair; NONE if there is none."""
+
+    def square(lists, pad: int) -> np.ndarray:
+        width = max(map(len, lists), default=0)
+        return np.array([[*s, *[pad] * (width - len(s))] for s in lists], np.int64).reshape(len(lists), width)
+
+    a, b = square(left, NONE), square(right, NONE)
+    common = np.full(len(q), NONE)
+    for i in range(a.shape[1]):
+        for j in range(b.shape[1]):
+            x = a[q, i]
+            common = np.where(x == b[c, j], np.minimum(common, x), common)
+    return common
+
+
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     ids, own = pdf["node"].to_numpy(), int(pdf["shard"].iloc[0])
     place = {int(v): i for i, v in enumerate(ids)}
@@ -158,14 +179,10 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     q, c = np.nonzero(found)
     if not len(q):
         return _result([], [], [])
-    lists = [sorted(s) for s in pdf["shards"]]
-    width = max(map(len, lists))
-    of = np.array([s + [-1 - i] * (width - len(s)) for i, s in enumerate(lists)], np.int64)
-    common = np.full(len(q), np.iinfo(np.int64).max)
-    for a in range(width):
-        for b in range(width):
-            same = of[q, a] == of[c, b]
-            common = np.where(same, np.minimum(common, of[q, a]), common)
+    here = pdf["shards"].tolist()
+    common = least_common(here, q, here, c)
+    large = pdf["huge"].tolist()
+    common[least_common(large, q, large, c) < NONE] = NONE  # counted where they were compared exactly
     mine = common == own
     counts = np.bincount(q[mine], pdf["copies"].to_numpy()[c[mine]], minlength=len(ids)).astype(np.int64)
     return _result(ids, counts, forest(found, ids))
@@ -229,7 +246,9 @@ def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
     a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     x, y, i, j = unit(a["embedding"]), unit(b["embedding"]), a["node"].to_numpy(), b["node"].to_numpy()
     hit = (x @ y.T >= COSINE) & (i[:, None] != j[None, :])
-    counts = hit @ b["copies"].to_numpy()
+    q, c = np.nonzero(hit)
+    mine = least_common(a["huge"].tolist(), q, b["huge"].tolist(), c) == int(pdf["shard"].iloc[0])
+    counts = np.bincount(q[mine], b["copies"].to_numpy()[c[mine]], minlength=len(i)).astype(np.int64)
     n = len(i)
     whole = np.zeros((n + len(j), n + len(j)), bool)
     whole[:n, n:], whole[n:, :n] = hit, hit.T
@@ -242,25 +261,25 @@ def links_of(nodes: DataFrame, overlap: int) -> DataFrame:
     sizes = dealt.groupBy("shard").agg(F.count("*").alias("size"))
     # nodes of a shard too large to be one group are compared exactly over the whole label
     huge = checkpoint(sizes.where(F.col("size") > 4 * SHARD))
-    of = dealt.groupBy("node").agg(F.collect_set("shard").alias("shards"))
+    of = dealt.join(huge.select("shard", F.col("shard").alias("h")), "shard", "left").groupBy("node").agg(F.collect_set("shard").alias("shards"), F.collect_set("h").alias("huge"))
     plain = dealt.join(huge.select("shard"), "shard", "left_anti")
     kind = dict(nodes.dtypes)["embedding"]
     graph = plain.select("shard", "node", "embedding").groupBy("shard").applyInPandas(_build, "node long, near array<long>")
     united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    ready = plain.join(united, "node").join(of, "node").select("shard", "node", "embedding", "copies", "near", "shards")
+    ready = plain.join(united, "node").join(of, "node").select("shard", "node", "embedding", "copies", "near", "shards", "huge")
     found = ready.groupBy("shard").applyInPandas(_search, "u long, v long, n long")
     if huge.isEmpty():
         return found
-    rows = dealt.join(huge, "shard").select("shard", "node", "embedding", "copies", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = dealt.join(huge, "shard").join(of, "node").select("shard", "node", "embedding", "copies", "huge", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = rows.select("shard", "node", "embedding", "copies", F.col("b").alias("i"), every.alias("j"), F.lit(0).alias("side"))
-    two = rows.select("shard", "node", "embedding", "copies", every.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"))
+    one = rows.select("shard", "node", "embedding", "copies", "huge", F.col("b").alias("i"), every.alias("j"), F.lit(0).alias("side"))
+    two = rows.select("shard", "node", "embedding", "copies", "huge", every.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"))
     exact = one.union(two).groupBy("shard", "i", "j").applyInPandas(lambda p: _exact(p) if p["side"].nunique() == 2 else _result([], [], []), "u long, v long, n long")
     return found.union(exact)
 
 
 def audit(nodes: DataFrame, counts: DataFrame, every: int = 50) -> float:
-    """Share of the true links of nodes with an id divisible by ``every``, by brute force against all nodes in blocks, that ``counts(node, n)`` holds."""
+    """Share of the true links of nodes with an id divisible by ``every``, by brute force against all nodes in blocks, that ``counts(node, n)`` holds. A node with more links than true ones is an error."""
     blocks = max(1, nodes.count() // 20_000)
     rows = nodes.select(F.xxhash64("label", "dim").alias("g"), "node", "embedding", "copies", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("b"))
     q = rows.where(F.col("node") % every == 0).select("g", "node", "embedding", "copies", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("side"))
@@ -269,16 +288,20 @@ def audit(nodes: DataFrame, counts: DataFrame, every: int = 50) -> float:
     def true(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
         if not len(a) or not len(b):
-            return pd.DataFrame({"node": [], "t": []}).astype("int64")
-        y, w, out = unit(b["embedding"]), b["copies"].to_numpy(), []
+            return pd.DataFrame({"node": [], "t": [], "most": []}).astype("int64")
+        y, w, out, most = unit(b["embedding"]), b["copies"].to_numpy(), [], []
         for lo in range(0, len(a), BLOCK):
             some = a.iloc[lo : lo + BLOCK]
-            hit = (unit(some["embedding"]) @ y.T >= COSINE) & (some["node"].to_numpy()[:, None] != b["node"].to_numpy()[None, :])
-            out.append(hit @ w)
-        return pd.DataFrame({"node": a["node"].to_numpy(), "t": np.concatenate(out)})
-
-    truth = both.groupBy("g", "b").applyInPandas(true, "node long, t long").groupBy("node").agg(F.sum("t").alias("t"))
-    t, n = truth.join(counts, "node", "left").agg(F.sum("t"), F.sum(F.least(F.coalesce("n", F.lit(0)), F.col("t")))).first()
+            sim, other = unit(some["embedding"]) @ y.T, some["node"].to_numpy()[:, None] != b["node"].to_numpy()[None, :]
+            out.append(((sim >= COSINE) & other) @ w)
+            most.append(((sim >= COSINE - 1e-9) & other) @ w)  # with those that rounding may let in
+        return pd.DataFrame({"node": a["node"].to_numpy(), "t": np.concatenate(out), "most": np.concatenate(most)})
+
+    truth = both.groupBy("g", "b").applyInPandas(true, "node long, t long, most long").groupBy("node").agg(F.sum("t").alias("t"), F.sum("most").alias("most"))
+    n = F.coalesce("n", F.lit(0))
+    t, n, over = truth.join(counts, "node", "left").agg(F.sum("t"), F.sum(F.least(n, F.col("t"))), F.count(F.when(n > F.col("most"), 1))).first()
+    if over:
+        raise RuntimeError(f"{over} nodes with more links than there are")
     return 1.0 if not t else n / t
 
 
@@ -292,6 +315,9 @@ def near_duplicates(vectors: DataFrame, overlap: int = 2, target: float = TARGET
         recall = audit(nodes, counts)
         if recall >= target:
             break
+    else:
+        if recall < min(LEAST, target):
+            raise RuntimeError(f"recall {recall:.3f} at the last build")
     groups = connected_components(found.where("v is not null").select("u", "v"))
     named = nodes.select("key", "node", "copies").join(counts, "node", "left").join(groups, "node", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
     return rows.join(named, "key", "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -358,3 +358,25 @@ def test_embedding_links_are_brute_force(spark, monkeypatch):
     assert (mine <= n).all() and mine.sum() >= 0.98 * n.sum()
     assert all(got[b[0]]["n_links"] == 0 and got[b[0]]["component_id"] == b[0] and got[b[0]]["kept"] for b in bad)
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_embedding_links_in_shards_without_pivots(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SHARD", 30)
+    monkeypatch.setattr(embeddings.shards_of, "__defaults__", (30,))
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(8, 16))
+    centres[1] = centres[0] + 0.5 * rng.normal(size=16)
+    x = np.concatenate([centres[0] + 0.02 * rng.normal(size=(260, 16))] + [c + 0.02 * rng.normal(size=(20, 16)) for c in centres[1:]])
+    nodes = spark.createDataFrame([(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    dealt = embeddings.shards_of(embeddings.nodes_of(nodes)[1], 2).toPandas()
+    size = dealt.groupby("shard")["node"].nunique()
+    assert (dealt[dealt["shard"].isin(size[size > 4 * 30].index)].groupby("node").size() > 1).sum() > 4 * 30  # nodes in several huge shards
+    u = embeddings.unit(x.astype(np.float32))
+    hit = u @ u.T >= 0.98
+    np.fill_diagonal(hit, False)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(nodes).collect()}
+    mine, n = np.array([got[i] for i in range(len(x))]), hit.sum(axis=1)
+    assert (mine <= n).all() and (mine[:260] == n[:260]).all() and mine.sum() >= 0.98 * n.sum()
+    rows = embeddings.nodes_of(nodes)[1]
+    with pytest.raises(RuntimeError):
+        embeddings.audit(rows, spark.createDataFrame([(i, int(v) + 1) for i, v in enumerate(n)], "node long, n long"))
