@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgrid.llm import decontamination, language, mixing, simhash, token_files
-from claimgrid.llm.common import checkpoint, crc_mod, shared_dir, table, written
+from claimgrid.llm.common import crc_mod, shared_dir, table, written
 
 #: Columns of documents; every stage but the last returns them.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,11 +29,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates; of rows with equal doc_ids, one."""
-    found = checkpoint(simhash.near_duplicates(docs))
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__head")).agg(F.count("*").alias("n"))
-    kept = docs.select(*COLUMNS).join(heads.select("__head"), F.col("doc_id").eqNullSafe(F.col("__head")), "left_semi")
-    return kept if heads.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near-duplicates: that with the smallest doc_id (null last), then hash of the text, then place."""
+    rows = written(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "near-dedup-rows")
+    found = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("text"), "__row")
+    heads = found.join(rows.select("__row", order.alias("order")), "__row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(heads.select(F.col("order.__row").alias("__row")), "__row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -380,3 +380,16 @@ def test_embedding_links_in_shards_without_pivots(spark, monkeypatch):
     rows = embeddings.nodes_of(nodes)[1]
     with pytest.raises(RuntimeError):
         embeddings.audit(rows, spark.createDataFrame([(i, int(v) + 1) for i, v in enumerate(n)], "node long, n long"))
+
+
+# pipeline
+
+
+def test_near_duplicate_stage_keeps_unlike_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    texts = [prose(rng, 80, (chr(97 + i), chr(105 + i), chr(113 + i) + "x")) for i in range(8)]
+    rows = [(None, t, None, None) for t in texts[:3]] + [(7, t, None, None) for t in texts[3:5]] + [(1, texts[5], None, None), (2, texts[5], None, None), (2, texts[6], None, None), (None, texts[7], None, None), (None, texts[7], None, None), (7, texts[3], None, None)]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows).withColumn("n_chars", F.length("text").cast("long")), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, t) for t in texts[:3]] + [(7, t) for t in texts[3:5]] + [(1, texts[5]), (2, texts[6]), (0, texts[7])])
