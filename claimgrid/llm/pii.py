@@ -7,8 +7,8 @@ social security number other digits, letters and digits of a mail box or secret
 on the key and the value alone, so equal values stay linked across documents and different ones stay apart. What is not
 valid (say, sixteen digits that fail Luhn) stays as it is, as do all characters outside the values.
 
-Scale: a map over rows; no shuffle, no Python. Texts without a digit or @ skip the pattern. The pattern's parts are bounded and begin at
-the start of a run, so long runs don't cost their square.
+Scale: a map over rows; no shuffle, no Python. Texts without a digit, @ or key word skip the pattern. The pattern's parts are bounded (but for
+secrets, which are never gone back into) and begin at the start of a run, so long runs don't cost their square.
 
 Cases: a null text stays null with no values found; an empty one stays empty; repeated rows are treated alike; other columns are ignored.
 """
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: What stands before a secret, in any case.
+KEY_WORDS = "token|secret|passwd|password|api_key|apikey|access_key"
 #: Fixed shapes of the values, tried in this order at each place.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
@@ -29,7 +31,7 @@ SHAPES = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\d(-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?<=(?:token|secret|passwd|password|api_key|apikey|access_key) ?[=:] ?[\"']?)[A-Za-z0-9+/_-]{16,512}",
+    "secret": rf"(?<![A-Za-z0-9+/_-])(?<=(?i:{KEY_WORDS}) ?[=:] ?[\"']?)[A-Za-z0-9+/_-]{{16,}}+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in SHAPES.values())
 ROUNDS = 8
@@ -197,7 +199,7 @@ def pseudonym(key: str, m: Column, kind: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with the new text and ``found``: kind, old and new value of each private value, in order."""
     text = F.col(text_col)
-    looked = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    looked = F.when(text.rlike(f"[0-9@]|(?i:{KEY_WORDS})"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     rows = docs.select(*keep, text.alias("__text"), looked.alias("__old"))
     kinds = F.transform("__old", lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("old"), pseudonym(key, m, k).alias("new"))))
     rows = rows.withColumn("__all", F.when(F.size("__old") > 0, kinds))

@@ -297,6 +297,15 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert [rows[i]["text"] for i in (7, 8, 9, 10)] == texts[7:11] and all(len(rows[i]["text"]) == len(texts[i]) for i in (0, 3, 4, 5, 6))
 
 
+def test_secrets_are_taken_whole(spark):
+    long, upper, letters = "aB3" * 300, "9233A8EC" * 3, "abcdefgh" * 3
+    texts = [f"token={long} end", f'TOKEN = "{upper}"', f"Password: {letters}"]
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), "k").collect()}
+    for i, old in enumerate((long, upper, letters)):
+        assert [(f["kind"], f["old"]) for f in rows[i]["found"]] == [("secret", old)] and len(rows[i]["text"]) == len(texts[i])
+        assert rows[i]["text"] == texts[i].replace(old, rows[i]["found"][0]["new"]) and old[-16:] not in rows[i]["text"]
+
+
 def test_permutations_are_injective(spark):
     n = 73_049
     df = spark.range(n).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("m")).where("pmod(xxhash64(m), 40) = 0")
