@@ -5,7 +5,7 @@ dates and addresses) and replaced by keyed Feistel permutations of their own for
 card number of its length, a date another date between 1900 and 2099, an IPv4 address another, the digits of a telephone or
 social security number other digits, letters and digits of a mail box or secret others of their class. The permutation depends
 on the key and the value alone, so equal values stay linked across documents and different ones stay apart. What is not
-valid (say, sixteen digits that fail Luhn) stays as it is, as do all characters outside the values.
+valid (say, sixteen digits that fail Luhn) stays as it is; of a longer row of digit groups that is no card, the card in it is taken, as do all characters outside the values.
 
 Scale: a map over rows; no shuffle, no Python. Texts without a digit, @ or key word skip the pattern. The pattern's parts are bounded (but for
 secrets, which are never gone back into) and begin at the start of a run, so long runs don't cost their square.
@@ -196,15 +196,53 @@ def pseudonym(key: str, m: Column, kind: Column) -> Column:
     )
 
 
+def card_in(m: Column) -> Column:
+    """The valid card among the groups of a longer row of digits that is none: ``before``, ``card`` and ``after`` it; null if there is none.
+
+    One unbroken or grouped by fours comes first, then the leftmost, then the longest."""
+
+    def best(groups: Column) -> Column:
+        n = F.size(groups)
+
+        def one(s: Column, k: Column) -> Column:
+            card = F.array_join(F.slice(groups, s, k), " ")
+            before = F.when(s > 1, F.concat(F.array_join(F.slice(groups, 1, s - 1), " "), F.lit(" "))).otherwise("")
+            usual = card.rlike(r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})$")
+            return F.struct((~usual).alias("odd"), s.alias("s"), (-k).alias("k"), before.alias("before"), card.alias("card"))
+
+        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(1), n - s + 1), lambda k: one(s, k))))
+        return F.array_min(F.filter(every, lambda x: F.length(digits_of(x["card"])).between(13, 19) & (luhn_sum(digits_of(x["card"])) % 10 == 0)))
+
+    found = let(best(F.split(m, " ")), lambda x: F.when(x.isNotNull(), F.struct(x["before"].alias("before"), x["card"].alias("card"), F.substr(m, F.length(x["before"]) + F.length(x["card"]) + 1, F.length(m)).alias("after"))))
+    return F.when(m.contains(" ") & m.rlike(whole(SHAPES["card"])) & kind_of(m).isNull(), found)
+
+
+def pieces(parts: Column, old: Column) -> Column:
+    """(hit, v): the text in order, as what matched and what did not."""
+    piece = lambda hit, v: F.struct(F.lit(hit).alias("hit"), v.alias("v"))
+    return F.filter(F.flatten(F.zip_with(parts, old, lambda p, m: F.array(piece(False, p), piece(True, m)))), lambda x: x["v"].isNotNull())
+
+
+def pieces_around(parts: Column, old: Column, cuts: Column) -> Column:
+    """As ``pieces``, with the cards of ``cuts`` taken out of their matches and what lay around them looked through anew."""
+    gap = lambda p, i: F.concat(F.coalesce(F.get(cuts, i - 1)["after"], F.lit("")), p, F.coalesce(F.get(cuts, i)["before"], F.lit("")))
+    again = lambda g: pieces(F.split(g, PATTERN, -1), F.regexp_extract_all(g, F.lit(PATTERN), F.lit(0)))
+    own = lambda i: F.filter(F.array(F.struct(F.lit(True).alias("hit"), F.coalesce(F.get(cuts, i)["card"], F.get(old, i)).alias("v"))), lambda x: x["v"].isNotNull())
+    return F.flatten(F.transform(parts, lambda p, i: F.concat(let(gap(p, i), lambda g: F.when(g == p, F.array(F.struct(F.lit(False).alias("hit"), p.alias("v")))).otherwise(again(g))), own(i))))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with the new text and ``found``: kind, old and new value of each private value, in order."""
     text = F.col(text_col)
     looked = F.when(text.rlike(f"[0-9@]|(?i:{KEY_WORDS})"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     rows = docs.select(*keep, text.alias("__text"), looked.alias("__old"))
-    kinds = F.transform("__old", lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("old"), pseudonym(key, m, k).alias("new"))))
-    rows = rows.withColumn("__all", F.when(F.size("__old") > 0, kinds))
-    parts = F.split("__text", PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, "__all", lambda p, x: F.array(p, F.coalesce(x["new"], F.lit(""))))), "")
+    rows = rows.withColumn("__cuts", F.when(F.size("__old") > 0, F.transform("__old", card_in)))
+    parts, cuts = F.split("__text", PATTERN, -1), F.col("__cuts")
+    rows = rows.withColumn("__pieces", F.when(F.size("__old") > 0, F.when(F.exists(cuts, lambda x: x.isNotNull()), pieces_around(parts, F.col("__old"), cuts)).otherwise(pieces(parts, F.col("__old")))))
+    none = F.lit(None).cast("string")
+    kinds = F.transform("__pieces", lambda x: F.when(x["hit"], let(kind_of(x["v"]), lambda k: F.struct(k.alias("kind"), x["v"].alias("old"), pseudonym(key, x["v"], k).alias("new")))).otherwise(F.struct(none.alias("kind"), x["v"].alias("old"), x["v"].alias("new"))))
+    rows = rows.withColumn("__all", kinds)
+    joined = F.array_join(F.transform("__all", lambda x: x["new"]), "")
     found = F.filter("__all", lambda x: x["kind"].isNotNull())
     return rows.select(*keep, F.when(F.size("__all") > 0, joined).otherwise(F.col("__text")).alias("text"), F.coalesce(found, F.array().cast("array<struct<kind:string,old:string,new:string>>")).alias("found"))
 

@@ -306,6 +306,18 @@ def test_secrets_are_taken_whole(spark):
         assert rows[i]["text"] == texts[i].replace(old, rows[i]["found"][0]["new"]) and old[-16:] not in rows[i]["text"]
 
 
+def test_cards_before_other_digits(spark):
+    card, other = "4111 1111 1111 1111", "4222222222222"
+    texts = [f"{card} 123", "4111111111111111 12/27", "4111111111111111 203.0.113.9 x", f"123 {card}", f"{card} 123 {other} 45 a@b.co", f"{card} 12/27/2024, 4111111111111112 12"]
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), "k").collect()}
+    kinds = [[f["kind"] for f in rows[i]["found"]] for i in range(len(texts))]
+    assert kinds == [["card"], ["card"], ["card", "ip"], ["card"], ["card", "card", "email"], ["card", "date"]]
+    new = rows[0]["found"][0]["new"]
+    assert rows[0]["text"] == f"{new} 123" and rows[3]["text"] == f"123 {new}" and rows[1]["text"].endswith(" 12/27")
+    assert all((i == 2 or len(rows[i]["text"]) == len(t)) and "1111 1111" not in rows[i]["text"] and "203.0" not in rows[i]["text"] for i, t in enumerate(texts))
+    assert rows[5]["text"].endswith(", 4111111111111112 12")
+
+
 def test_permutations_are_injective(spark):
     n = 73_049
     df = spark.range(n).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("m")).where("pmod(xxhash64(m), 40) = 0")
