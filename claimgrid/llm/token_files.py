@@ -1,14 +1,14 @@
 """Token ids as ORC files in document order, with integer run-length encoding, row indexes and Bloom filters on doc_id.
 
-A row is a document: doc_id, ids (its token ids, the end id last), part (number of the file's range in the
+A row is a document: doc_id, ids (its token ids, the end id last), n_tokens (their number), part (number of the file's range in the
 order) and local_start (ids before it in that range). Integer columns are run-length encoded by ORC; each
 stripe has row indexes (least and greatest doc_id of every ``ROW_INDEX`` rows) and a Bloom filter on doc_id,
 so a look-up reads a few row groups and a scan deals stripes out to tasks. A document's place in the whole
 stream is the sum of the ranges before it plus local_start: no window over all rows is needed.
 
 Scale: one range exchange by doc_id carries the texts; tokenising runs inside the sorted ranges, in Arrow
-batches, with word caches of ``CACHE_WORDS``. The tokenizer drops white space, and no rule
-of it looks across a space, so texts are cut at spaces and each distinct word is encoded once.
+batches of up to ``BATCH_BYTES``, with a cache of twice ``CACHE_WORDS`` pieces. The tokenizer drops white space, and no rule
+of it looks across a space, so texts are cut at spaces and each distinct word of a batch is encoded once.
 
 Cases: null and empty texts hold the end id alone; null doc_ids come first; rows that share a doc_id are kept,
 in the order of their texts; an empty table writes no rows.
@@ -19,10 +19,12 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,9 @@ END_ID = 1
 CACHE_WORDS = 250_000
 ROW_INDEX = 1000
 STRIPE_BYTES = 16 << 20
-SCHEMA = "doc_id long, part int, local_start long, ids array<int>"
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 8 << 20
+SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
 def default_tokenizer() -> str:
@@ -48,6 +52,9 @@ PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
 #: The tokenizer file's own rule for cutting words, over lower-cased text.
 CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: What often follows a word of letters and is then a piece of its own.
+TAILS = list(".,;:!?")
+
 
 def byte_letters() -> list[str]:
     """Byte to the letter that byte-level vocabularies write for it: visible Latin-1 as it is, the others in order from U+0100."""
@@ -74,11 +81,19 @@ class Cache(dict):
         return value
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``pick`` of ``flat`` one after another, run i being the n[i] entries from start[i] on; and their lengths."""
+    n, start = n[pick], start[pick]
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - n), n)], n
+
+
 class WordIds:
-    """Token ids of texts as little-endian 32-bit integers. ``path``: a tokenizer file with the rules named above.
+    """Token ids of texts. ``path``: a tokenizer file with the rules named above.
 
-    A word in plain Latin-1 is lower-cased and cut here and its pieces go to the library's BPE model; any other, and any that
-    could hold a special token, goes through the library's whole chain.
+    Texts are cut at spaces and each distinct word of a batch is looked at once. A word in plain Latin-1 is lower-cased and cut here
+    and its pieces go to the library's BPE model; any other, and any that could hold a special token, goes through the library's
+    whole chain. Ids are put together by offsets, so nothing is done in Python for each occurrence of a word.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -86,44 +101,79 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.pieces, self.known = Cache(cache_words, self.piece), Cache(cache_words, self.word)
+        self.pieces = Cache(cache_words, self.piece)
 
     def piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = "".join([self.letters[b] for b in piece.encode()])
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def word(self, word: str) -> bytes:
         if PLAIN.fullmatch(word) and "<|" not in word:
-            if word.isalpha():
-                return self.pieces[word.lower()]
-            if word[-1] in ".,;:!?" and word[:-1].isalpha():
-                return self.pieces[word[:-1].lower()] + self.pieces[word[-1]]
             return b"".join([self.pieces[p] for p in CUTS.findall(word.lower())])
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.known.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def units(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of units, and for each of the distinct ``words`` the numbers of its two units; unit 0 is empty."""
+        plain = pc.and_(pc.match_substring_regex(words, f"^{PLAIN.pattern}$"), pc.invert(pc.match_substring(words, "<|")))
+        lower = pc.utf8_lower(words)
+        stem, last = pc.utf8_slice_codeunits(lower, 0, -1), pc.utf8_slice_codeunits(lower, -1)
+        whole = pc.and_(plain, pc.utf8_is_alpha(lower))
+        tailed = pc.and_(plain, pc.and_(pc.is_in(last, pa.array(TAILS)), pc.utf8_is_alpha(stem)))
+        stems = pc.if_else(whole, lower, pc.if_else(tailed, stem, pa.scalar(None, words.type))).dictionary_encode()
+        known = stems.dictionary.to_pylist()
+        other = pc.invert(pc.or_(whole, tailed)).to_numpy(zero_copy_only=False)
+        rest = words.filter(pa.array(other)).to_pylist()
+        one = pc.fill_null(stems.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        one[other] = 1 + len(known) + np.arange(len(rest))
+        tail = pc.fill_null(pc.if_else(tailed, pc.index_in(last, pa.array(TAILS)), pa.scalar(None, pa.int32())), -1).to_numpy(zero_copy_only=False)
+        two = np.where(tail < 0, 0, 1 + len(known) + len(rest) + tail)
+        return [b"", *map(self.pieces.__getitem__, known), *map(self.word, rest), *map(self.pieces.__getitem__, TAILS)], np.stack([one, two], axis=1)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` (null: empty), one text after another, and the number of ids of each."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        units, pairs = self.units(coded.dictionary)
+        size = np.fromiter((len(u) // 4 for u in units), np.int64, len(units))
+        flat, n = gathered(np.frombuffer(b"".join(units), "<u4"), np.cumsum(size) - size, size, pairs.ravel())
+        n = n.reshape(-1, 2).sum(axis=1)
+        ids, n = gathered(flat, np.cumsum(n) - n, n, coded.indices.to_numpy())
+        before = np.concatenate([[0], np.cumsum(n)])
+        places = split.offsets.to_numpy()
+        return ids, np.diff(before[places - places[0]])
 
 
 _ENCODERS: dict[str, WordIds] = {}
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
+def cuts(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with up to ``most`` bytes of text, or one longer text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > lo and held + n > most:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if len(size):
+        yield lo, len(size)
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     if path not in _ENCODERS:
         _ENCODERS[path] = WordIds(path)
-    encode, end, part, start = _ENCODERS[path], np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+    encode, part, start = _ENCODERS[path], TaskContext.get().partitionId(), 0
     for whole in batches:
-        for lo in range(0, whole.num_rows, rows):
-            batch = whole.slice(lo, rows)
-            ids = [encode(t) + end for t in batch.column("text").to_pylist()]
-            n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            places = np.concatenate([[0], np.cumsum(n)])
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        for lo, hi in cuts(whole.column("text")):
+            batch = whole.slice(lo, hi - lo)
+            ids, n = encode(batch.column("text"))
+            places = np.concatenate([[0], np.cumsum(n + 1)])
+            ids = np.insert(ids, np.cumsum(n), end_id)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + places[:-1]), pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), flat)], names=["doc_id", "part", "local_start", "ids"]
+                [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(start + places[:-1]), pa.array((n + 1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.view("<i4")))], names=["doc_id", "part", "local_start", "n_tokens", "ids"]
             )
             start += int(places[-1])
 
@@ -145,16 +195,16 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
         flat, off = ids.values.to_numpy().view("<u4"), ids.offsets.to_numpy()
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("local_start"), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
 
 def index(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files. The table of ranges has a row for each written partition."""
-    rows = files.mapInArrow(_sums, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
-    ends = files.groupBy("part").agg(F.max(F.col("local_start") + F.size("ids")).alias("n"))
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files. The table of ranges has a row for each written partition; ids are read once."""
+    rows = files.select("doc_id", "part", "local_start", "ids").mapInArrow(_sums, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    ends = files.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("n"))
     base = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:

@@ -174,6 +174,37 @@ def test_token_files_round_trip(spark, edge, tmp_path):
     assert token_files.index(token_files.read(spark, empty)).count() == 0
 
 
+def test_token_files_hold_indexes_and_prune(spark, tmp_path):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the cat"), F.col("id").cast("string")).alias("text"))
+    at = token_files.write(rows, f"{tmp_path}/ids")
+    orc, conf = spark._jvm.org.apache.orc, spark._jsc.hadoopConfiguration()
+    for name in spark.read.format("binaryFile").load(at).select("path").collect():
+        reader = orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(name[0]), orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == token_files.ROW_INDEX and str(reader.getCompressionKind()) == "ZSTD"
+        if reader.getNumberOfRows():
+            every = spark.sparkContext._gateway.new_array(spark._jvm.boolean, 7)
+            for k in range(7):
+                every[k] = True
+            found = reader.rows().readRowIndex(0, every, every)
+            assert found.getRowGroupIndex()[1].getEntryCount() == -(-min(reader.getNumberOfRows(), reader.getStripes()[0].getNumberOfRows()) // token_files.ROW_INDEX)
+            assert found.getBloomFilterIndex()[1].getBloomFilterCount() > 0 and found.getBloomFilterIndex()[2] is None
+    # a look-up reads row groups, not the table
+    one = token_files.read(spark, at).where("doc_id = 12345").select("doc_id", "n_tokens")
+    assert "EqualTo(doc_id,12345)" in one._jdf.queryExecution().toString() and one.count() == 1
+    plan = token_files.read(spark, at).where("doc_id = 12345")._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    while not plan.metrics().contains("numFiles"):
+        plan = plan.children().head()
+    assert 0 < plan.metrics().apply("numOutputRows").value() <= 2 * token_files.ROW_INDEX
+
+
+def test_token_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, None, "b" * 30, "", "c" * 5, "d" * 5])
+    assert list(token_files.cuts(texts, 12)) == [(0, 2), (2, 4), (4, 6)] and list(token_files.cuts(texts.slice(0, 0))) == []
+
+
 # 4
 
 
