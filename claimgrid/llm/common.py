@@ -34,10 +34,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, so what follows can prune columns and reuse it."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

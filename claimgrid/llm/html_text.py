@@ -3,19 +3,22 @@
 The trees of all pages of a host are merged: a node is known by its path of tags and classes, and for each node the
 host's pages are counted by presentation (the sequence of its children) and by content (its text). Importance is
 entropy, 1 when every page differs and 0 when all agree: ``(1 - g**l) * presentation + g**l * content`` with g = 0.9 and l
-presentations. Branches of low importance are removed from each page; equal pages of a host count once. Neither html nor body is
-removed, nor a branch with over three quarters of a page's text, nor one with over half of it some of which lies in important nodes;
-and where nothing would be left, all stays.
-
-Entropy alone keeps menus whose links differ from page to page and drops the articles of mirrored pages, so two things are
-known beforehand: what lies in an article (or main) element is the page's text and is not removed for being repeated; and menus,
-headers, footers, sidebars, notices, adverts, forms and comments that say so by tag, role or class are unimportant anywhere. The
-tree decides on everything else, that is the pages without such an element. An article (or main) in a wrapper whose class only
-sounds like one of these (say has-sidebar) is added to that, unless the page has an article with at least as much text elsewhere;
+presentations. Equal pages of a host count once. Branches of low importance are removed from each page, in articles and beside them.
+
+Entropy alone keeps menus whose links differ from page to page and drops the articles of mirrored pages, so what tags, roles and
+classes say weighs in beforehand (``WEIGHTS``): what names itself a menu, header, footer, sidebar, notice, advert, form or comments
+counts for a part of its entropy, and a branch of an article (or main) has to be repeated on nearly all of ten pages or more. On a page with an article
+(or else main) the text is what lies in it. Its branches of low importance go if the page's own text of them is the host's commonest, unless more than half
+of the article would go (a mirrored article stays whole); its main heading stays. Elsewhere a branch of low importance goes, but neither html nor body,
+nor a branch with over three quarters of a page's text, nor one with over half of it some of which lies in important nodes;
+and where nothing would be left, all stays. An article (or main) in a wrapper whose class only
+sounds like a menu or the like (say has-sidebar) is added, unless the page has an article with at least as much text elsewhere;
 one in a wrapper for comments is added only where nothing else is found.
 
-Scale: pages are parsed where they are read, first for the counts (a row of hashes for each page, equal ones combined before the
-shuffle, then rows by host, node and hash, combined too, so a host with a third of all pages is no hot key), then for the text. The list of unimportant nodes is broadcast up to ``LISTED`` entries;
+Scale: pages are parsed once, where they are read, to blocks of text and nodes, in time linear in the page (an open element is found by
+its tag, texts are held by their nearest node, contents are hashed from below), and written to the shared folder. The
+counts take a row of hashes for each distinct page, equal ones combined before the
+shuffle, then rows by host, node and hash, combined too, so a host with a third of all pages is no hot key. The list of unimportant nodes is broadcast up to ``LISTED`` entries;
 above that the pages are joined with the rows of their own nodes.
 
 Cases: null and empty pages give an empty text; unclosed and misplaced tags are repaired as browsers do in the common cases; a null url is
@@ -25,8 +28,8 @@ a host of its own; repeated rows each get a row; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
@@ -35,9 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpoint, table
+from .common import checkpoint, table, written
 
-GAMMA, LEAST, FEWEST_PAGES, LISTED = 0.9, 0.35, 3, 200_000
+GAMMA, LEAST, LISTED = 0.9, 0.35, 200_000
+#: Where a branch lies: the part of its entropy's shortfall that counts, and the fewest distinct pages of a host that tell.
+BESIDE, IN_MAIN, IN_ARTICLE = 0, 1, 2
+WEIGHTS = {BESIDE: (1.0, 3), IN_MAIN: (0.8, 10), IN_ARTICLE: (0.7, 10)}
 
 # Fixed sets of HTML names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +61,9 @@ BY_CLASS, BY_COMMENTS, WHOLLY = 1, 2, 3
 #: An open element that a start tag of the same group ends.
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = frozenset("article main table ul ol dl body html div section".split())
+P_SCOPES = SCOPES | {"li", "td", "th", "button"}
+#: What an end tag of the second kind does not reach through.
+WALLS, HELD_IN = frozenset("article main table".split()), frozenset("p li div span section".split())
 
 NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 TAG_END = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
@@ -62,16 +71,6 @@ ATTRS = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^
 WORDS = re.compile(r"[a-z]+")
 
 
-class Node:
-    __slots__ = ("tag", "key", "bad", "inside", "lifted", "kids", "texts", "mark")
-
-    def __init__(self, tag: str, key: int, bad: int, inside: str, lifted: int = 0):
-        self.tag, self.key, self.bad, self.inside, self.lifted = tag, key, bad, inside, lifted
-        self.kids: list[str] = []
-        self.texts: list[str] = []
-        self.mark = ""
-
-
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes): kinds are text, open and close."""
     i, n = 0, len(html)
@@ -133,71 +132,128 @@ def unimportant(tag: str, attrs: str) -> tuple[int, str]:
     return (0 if not words else BY_COMMENTS if words & COMMENT_WORDS else BY_CLASS), name
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, list[Node]]], list[Node], str]:
-    """Blocks of text with their ancestors, all structural nodes, and the element that holds the text (article, main or none)."""
-    root = Node("", 0, 0, "")
-    stack, nodes, blocks, buffer = [root], [], [], []
-    held = ""
+@dataclass
+class Page:
+    """Nodes in document order (parents first) and blocks of text; ``key``: path of tags and classes, ``item``: number of the key among ``keys``."""
+
+    up: list[int] = field(default_factory=list)
+    key: list[int] = field(default_factory=list)
+    tag: list[str] = field(default_factory=list)
+    flags: list[int] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
+    item: list[int] = field(default_factory=list)
+    keys: list[int] = field(default_factory=list)
+    shown: list[int] = field(default_factory=list)
+    content: list[int] = field(default_factory=list)
+
+
+#: Bits of a node's flags: what condemns it, what condemned a wrapper of its article, where it lies, whether it is a root of the page or a main heading.
+BAD, LIFTED, PLACE, STAYS = 0, 2, 4, 6
+ROOTS = {"html": 1, "body": 1, "h1": 2}
+part = lambda flags, bit: flags >> bit & 3
+PLACES = {"article": IN_ARTICLE, "main": IN_MAIN}
+
+
+def parse(html: str | None) -> Page:
+    """One pass over the page; an open element is found by its tag, so the time is linear in the page's length."""
+    out = Page()
+    up, key, tag, flags, kids, items = out.up, out.key, out.tag, out.flags, [], []
+    stack: list[int] = []
+    scope: list[int] = []  # height of the nearest of SCOPES, of those that end a p, and of article, main or table, for each open element
+    p_scope: list[int] = []
+    wall: list[int] = []
+    open_at: dict[str, list[int]] = {}
+    buffer: list[str] = []
 
     def flush() -> None:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((text, stack[1:]))
-                for x in stack[1:]:
-                    x.texts.append(text)
-
-    def shut(names: tuple[str, ...], scopes: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in scopes:
-                return
+                out.texts.append(text)
+                out.at.append(stack[-1] if stack else -1)
+                if stack:
+                    items[stack[-1]].append(xxh64_intdigest(text))
+
+    def cut(height: int) -> None:
+        while len(stack) > height:
+            open_at[tag[stack.pop()]].pop()
+            scope.pop(), p_scope.pop(), wall.pop()
+
+    def shut(names: tuple[str, ...], scopes: list[int]) -> None:
+        height = max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
+        if height >= 0 and height > scopes[-1]:
+            cut(height)
 
     for kind, name, attrs in tokens(html or ""):
         if kind == "text":
             buffer.append(name)
         elif name in INLINE:
             continue
-        elif name in ("br", "wbr", "img", "td", "th") and kind == "open" and name != "td" and name != "th":
+        elif name in ("br", "wbr", "img") and kind == "open":
             buffer.append(" " if name == "br" else "")
         elif kind == "open":
             flush()
             if name in CLOSES_P:
-                shut(("p",), SCOPES | {"li", "td", "th", "button"})
+                shut(("p",), p_scope)
             if name in SELF_CLOSING:
-                shut(SELF_CLOSING[name], SCOPES)
+                shut(SELF_CLOSING[name], scope)
             if name in VOID:
                 continue
             bad, label = unimportant(name, attrs)
-            up = stack[-1]
-            inside = name if name == "article" or name == "main" and up.inside != "article" else up.inside
-            if name == "header" and inside != "article":
+            above = stack[-1] if stack else -1
+            over = flags[above] if stack else 0
+            place = max(PLACES.get(name, BESIDE), part(over, PLACE))
+            if name == "header" and place != IN_ARTICLE:
                 bad = WHOLLY
-            lifted = up.lifted
-            if name in ("article", "main") and not bad and 0 < up.bad < WHOLLY:
-                lifted = max(lifted, up.bad)
-            elif up.bad:
-                bad = max(bad, up.bad)
-            node = Node(name, xxh64_intdigest(f"{up.key}>{name}.{label}"), bad, inside, lifted)
-            if not node.bad and not lifted and inside and held != "article":
-                held = inside
-            up.kids.append(f"{name}.{label}")
-            if not up.bad and not up.lifted:
-                nodes.append(node)
-            stack.append(node)
+            lifted = part(over, LIFTED)
+            if name in PLACES and not bad and 0 < part(over, BAD) < WHOLLY:
+                lifted = max(lifted, part(over, BAD))
+            elif part(over, BAD):
+                bad = max(bad, part(over, BAD))
+            here = len(up)
+            up.append(above)
+            key.append(xxh64_intdigest(f"{key[above] if stack else 0}>{name}.{label}"))
+            tag.append(name)
+            flags.append(bad << BAD | lifted << LIFTED | place << PLACE | ROOTS.get(name, 0) << STAYS)
+            kids.append([])
+            items.append([])
+            if stack:
+                kids[above].append(f"{name}.{label}")
+                items[above].append(here - (1 << 62))  # stands for the child's content
+            height = len(stack)
+            scope.append(height if name in SCOPES else scope[-1] if stack else -1)
+            p_scope.append(height if name in P_SCOPES else p_scope[-1] if stack else -1)
+            wall.append(height if name in WALLS else wall[-1] if stack else -1)
+            open_at.setdefault(name, []).append(height)
+            stack.append(here)
         else:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "table") and name in ("p", "li", "div", "span", "section"):
-                    break
+            if open_at.get(name):
+                height = open_at[name][-1]
+                if name not in HELD_IN or height >= wall[-1]:
+                    cut(height)
     flush()
-    return blocks, nodes, held
+    # contents from below; then the nodes of a key together
+    own = [0] * len(up)
+    for i in range(len(up) - 1, -1, -1):
+        found = [x if x >= 0 else own[x + (1 << 62)] for x in items[i]]
+        found = [x for x in found if x]
+        own[i] = found[0] if len(found) == 1 else xxh64_intdigest(b"".join(x.to_bytes(8, "little") for x in found)) if found else 0
+    by: dict[int, int] = {}
+    together: list[list[int]] = []
+    for i, k in enumerate(key):
+        n = by.setdefault(k, len(by))
+        out.item.append(n)
+        if n == len(together):
+            together.append([])
+        if up[i] < 0 or not part(flags[up[i]], BAD):
+            together[n].append(i)
+    out.keys = list(by)
+    out.shown = [xxh64_intdigest("|".join(",".join(kids[i]) for i in nodes)) if nodes else 0 for nodes in together]
+    out.content = [xxh64_intdigest(b"".join(own[i].to_bytes(8, "little") for i in nodes)) if nodes else 0 for nodes in together]
+    return out
 
 
 def host_of(url: str | None) -> str | None:
@@ -209,110 +265,136 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+NODES = "host long, page long, up array<int>, item array<int>, flags array<int>, texts array<string>, at array<int>, keys array<long>, shown array<long>, content array<long>"
+
+
+def _parsed(it: Iterator[pa.RecordBatch], keep: tuple[str, ...], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in NODES.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
+    for whole in it:
+        for lo in range(0, whole.num_rows, rows):
+            b = whole.slice(lo, rows)
+            cols: list[list] = [[] for _ in names]
+            for url, html in zip(b.column("__url").to_pylist(), b.column("__html").to_pylist(), strict=True):
+                x = parse(html)
+                wide = [np.array(v, np.uint64).view(np.int64) for v in (x.keys, x.shown, x.content)]
+                for c, v in zip(cols, (signed(xxh64_intdigest(host_of(url) or "")), signed(xxh64_intdigest(html or "")), x.up, x.item, x.flags, x.texts, x.at, *wide), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[*keep, *names])
+
+
+def parsed(pages: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Columns ``keep`` of ``pages(url, html)`` with blocks and nodes, a row number (__row) and hashes of host and page; written once for both passes."""
+    kinds = dict(pages.dtypes)
+    kept = [F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)]
+    names = tuple(f"__keep_{i}" for i in range(len(keep)))
+    schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True)), NODES])
+    out = pages.select(*kept, F.col("url").alias("__url"), F.col("html").alias("__html")).mapInArrow(lambda it: _parsed(it, names), schema)
+    return written(out.withColumn("__row", F.monotonically_increasing_id()), "html-pages", compression="zstd")
+
+
 def counts(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, hash) of the nodes of every page, equal pages of a host once: kind 0 is presentation, 1 content. Nodes in an article are not asked about."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            hosts, equal, lists = [], [], []
-            seen: set[tuple[int, int]] = set()
-            for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                host, page = signed(xxh64_intdigest(host_of(url) or "")), signed(xxh64_intdigest(html or ""))
-                if (host, page) in seen:
-                    continue
-                seen.add((host, page))
-                by: dict[int, list[Node]] = {}
-                for x in parse(html)[1]:
-                    if x.inside != "article":
-                        by.setdefault(x.key, []).append(x)
-                if by:
-                    hosts.append(host)
-                    equal.append(page)
-                    out = [(key, xxh64_intdigest("|".join(",".join(x.kids) for x in own)), xxh64_intdigest("|".join("\n".join(x.texts) for x in own))) for key, own in by.items()]
-                    lists.append(np.array(out, np.uint64).view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(equal, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["host", "page", "nodes"])
-
-    each = pages.select("url", "html").mapInArrow(batches, "host long, page long, nodes array<long>").groupBy("host", "page").agg(F.first("nodes").alias("nodes"))
-    rows = each.select("host", F.explode(F.sequence(F.lit(1), F.size("nodes"), F.lit(3))).alias("i"), "nodes")
-    rows = rows.select("host", F.element_at("nodes", F.col("i")).alias("node"), F.posexplode(F.slice("nodes", F.col("i") + 1, 2)).alias("kind", "hash"))
-    return rows.select("host", "node", "kind", "hash")
+    """(host, node, kind, hash) of the nodes of every parsed page, equal pages of a host once: kind 0 is presentation, 1 content. What lies in condemned branches is not asked about."""
+    each = pages.select("host", "page", "keys", "shown", "content").dropDuplicates(["host", "page"])
+    rows = each.select("host", F.explode(F.arrays_zip("keys", "shown", "content")).alias("x")).where("x.shown <> 0")
+    return rows.select("host", F.col("x.keys").alias("node"), F.posexplode(F.array("x.shown", "x.content")).alias("kind", "hash"))
 
 
 def importance(rows: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the merged trees."""
+    """(host, node, pages, importance, common) of the merged trees; common: the commonest content."""
     each = rows.groupBy("host", "node", "kind", "hash").agg(F.count("*").alias("c"))
     plogp = F.sum(F.col("c") * F.log("c"))
-    node = each.groupBy("host", "node").pivot("kind", [0, 1]).agg(F.sum("c").alias("m"), plogp.alias("s"), F.sum(F.lit(1)).alias("l"))
+    node = each.groupBy("host", "node").pivot("kind", [0, 1]).agg(F.sum("c").alias("m"), plogp.alias("s"), F.sum(F.lit(1)).alias("l"), F.max(F.struct("c", "hash")).alias("top"))
     entropy = lambda k: F.when(F.col(f"{k}_m") > 1, 1 - F.col(f"{k}_s") / (F.col(f"{k}_m") * F.log(f"{k}_m"))).otherwise(1.0)
     g = F.pow(F.lit(GAMMA), F.col("0_l").cast("double"))
-    return node.select("host", "node", F.col("0_m").alias("pages"), ((1 - g) * entropy(0) + g * entropy(1)).alias("importance"))
-
-
-def main_text(html: str | None, low) -> str:
-    """Text of a page; ``low(key)`` tells if a node is unimportant on its host."""
-    blocks, _, held = parse(html)
-    fine = [(text, above) for text, above in blocks if not (above and above[-1].bad)]
-    share: Counter[int] = Counter()
-    total, mixed = sum(len(text) for text, _ in fine), set()
-    for text, above in () if held else fine:
-        share.update({id(x): len(text) for x in above})
-        if above and not low(above[-1].key):
-            mixed.update(map(id, above))
-    stays = lambda x: x.tag in ("html", "body") or share[id(x)] > total * (0.5 if id(x) in mixed else 0.75)
-    found, lifted = [], []
-    for i, (text, above) in enumerate(fine):
-        if above and above[-1].lifted:
-            lifted.append(i)
-        elif held:
-            if above and above[-1].inside == held:
-                found.append(i)
-        elif not any(low(x.key) and not stays(x) for x in above):
-            found.append(i)
-    size = lambda places: sum(len(fine[i][0]) for i in places)
-    plain = [i for i in lifted if fine[i][1][-1].lifted == BY_CLASS]
-    if held != "article" or size(plain) > size(found):
+    return node.select("host", "node", F.col("0_m").alias("pages"), ((1 - g) * entropy(0) + g * entropy(1)).alias("importance"), F.col("1_top.hash").alias("common"))
+
+
+def low(known: tuple[int, float, int | None] | None, place: int) -> bool:
+    """Whether a node of (pages, importance, common content) counts as unimportant where it lies."""
+    weight, fewest = WEIGHTS[place]
+    return known is not None and known[0] >= fewest and 1 - (1 - known[1]) * weight < LEAST
+
+
+def chosen(up, item, flags, texts, at, content, known) -> str:
+    """Text of a parsed page; ``known(i)`` gives (pages, importance, common content) of its i-th key, or None."""
+    n, told = len(up), {}
+
+    def is_low(i: int) -> bool:
+        k = (item[i], part(flags[i], PLACE))
+        if k not in told:
+            told[k] = low(known(k[0]), k[1])
+        return told[k]
+
+    fine = [b for b in range(len(texts)) if at[b] < 0 or not part(flags[at[b]], BAD)]
+    held = max((part(f, PLACE) for f in flags if not part(f, BAD) and not part(f, LIFTED)), default=BESIDE)
+    gone = [False] * n
+    if held:  # branches of the article with the host's commonest text
+        for i in range(n):
+            own = part(flags[i], PLACE) == held and not part(flags[i], STAYS) and is_low(i) and known(item[i])[2] in (None, content[item[i]])
+            gone[i] = own or up[i] >= 0 and gone[up[i]]
+    else:  # branches of low importance that hold no large part of the page
+        share, mixed = [0] * n, [False] * n
+        for b in fine:
+            if at[b] >= 0:
+                share[at[b]] += len(texts[b])
+                mixed[at[b]] = mixed[at[b]] or not is_low(at[b])
+        for i in range(n - 1, -1, -1):
+            if up[i] >= 0:
+                share[up[i]] += share[i]
+                mixed[up[i]] = mixed[up[i]] or mixed[i]
+        total = sum(len(texts[b]) for b in fine)
+        for i in range(n):
+            stays = part(flags[i], STAYS) == 1 or share[i] > total * (0.5 if mixed[i] else 0.75)
+            gone[i] = up[i] >= 0 and gone[up[i]] or not stays and is_low(i)
+    size = lambda places: sum(len(texts[b]) for b in places)
+    lifted = [b for b in fine if at[b] >= 0 and part(flags[at[b]], LIFTED)]
+    inside = [b for b in fine if not (at[b] >= 0 and part(flags[at[b]], LIFTED)) and (not held or at[b] >= 0 and part(flags[at[b]], PLACE) == held)]
+    found = [b for b in inside if at[b] < 0 or not gone[at[b]]]
+    if held and 2 * size(found) < size(inside):
+        found = inside
+    plain = [b for b in lifted if part(flags[at[b]], LIFTED) == BY_CLASS]
+    if held != IN_ARTICLE or size(plain) > size(found):
         found += plain
-    return "\n".join(fine[i][0] for i in sorted(found or lifted or range(len(fine))))
+    return "\n".join(texts[b] for b in sorted(found or lifted or range(len(texts))))
 
 
-def _texts(it: Iterator[pa.RecordBatch], keep: tuple[str, ...], low_of) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        texts = []
-        for i, (url, html) in enumerate(zip(b.column("__url").to_pylist(), b.column("__html").to_pylist(), strict=True)):
-            texts.append(main_text(html, low_of(b, i, url)))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+def main_text(html: str | None, unimportant_key) -> str:
+    """Text of a page; ``unimportant_key(key)`` tells if a node's texts are the same on all of the host's pages."""
+    x = parse(html)
+    return chosen(x.up, x.item, x.flags, x.texts, x.at, x.content, lambda i: (1 << 30, 0.0, None) if unimportant_key(x.keys[i]) else None)
+
+
+def _texts(it: Iterator[pa.RecordBatch], keep: tuple[str, ...], known_of) -> Iterator[pa.RecordBatch]:
+    for whole in it:
+        for lo in range(0, whole.num_rows, 256):
+            b = whole.slice(lo, 256)
+            cols = [b.column(c).to_pylist() for c in ("up", "item", "flags", "texts", "at", "content")]
+            texts = [chosen(*(c[i] for c in cols), known_of(b, i)) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(b.column(f"__keep_{i}") for i in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), listed: int = LISTED) -> DataFrame:
     """Columns ``keep`` of ``pages(url, html)`` with the main text of every row."""
-    known = importance(counts(pages))
-    low = checkpoint(known.where((F.col("importance") < LEAST) & (F.col("pages") >= FEWEST_PAGES)).select("host", "node"))
+    rows = parsed(pages, keep)
+    known = importance(counts(rows))
+    few = checkpoint(known.where((F.col("importance") < LEAST) & (F.col("pages") >= min(n for _, n in WEIGHTS.values()))))
     kinds = dict(pages.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string"
-    rows = pages.select(*keep, F.col("url").alias("__url"), F.col("html").alias("__html"))
-    if low.count() <= listed:
-        sent = pages.sparkSession.sparkContext.broadcast(frozenset((r[0], r[1]) for r in low.collect()))
+    if few.count() <= listed:
+        sent = pages.sparkSession.sparkContext.broadcast({(r["host"], r["node"]): (r["pages"], r["importance"], r["common"]) for r in few.collect()})
 
-        def by_list(b, i, url):
-            host = signed(xxh64_intdigest(host_of(url) or ""))
-            return lambda key: (host, signed(key)) in sent.value
+        def by_list(b, i):
+            host, keys = b.column("host")[i].as_py(), b.column("keys")[i].as_py()
+            return lambda k: sent.value.get((host, keys[k]))
 
         return rows.mapInArrow(lambda it: _texts(it, keep, by_list), schema)
 
     # too many for a broadcast: each page asks for its own nodes
-    rows = checkpoint(rows.withColumn("__row", F.monotonically_increasing_id()))
-
-    def nodes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out = [(r, signed(xxh64_intdigest(host_of(u) or "")), signed(k)) for r, u, h in zip(b.column("__row").to_pylist(), b.column("__url").to_pylist(), b.column("__html").to_pylist(), strict=True) for k in {x.key for x in parse(h)[1]}]
-            cols = np.array(out, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[:, k]) for k in range(3)], names=["__row", "host", "node"])
-
-    asked = rows.select("__row", "__url", "__html").mapInArrow(nodes, "__row long, host long, node long").join(low, ["host", "node"]).groupBy("__row").agg(F.collect_set("node").alias("__low"))
+    asked = rows.select("__row", "host", F.posexplode("keys").alias("nth", "node")).join(few, ["host", "node"]).groupBy("__row").agg(F.collect_list(F.struct("nth", "pages", "importance", "common")).alias("__low"))
 
-    def by_row(b, i, url):
-        own = frozenset(b.column("__low")[i].as_py() or ())
-        return lambda key: signed(key) in own
+    def by_row(b, i):
+        return {r["nth"]: (r["pages"], r["importance"], r["common"]) for r in b.column("__low")[i].as_py() or ()}.get
 
     return rows.join(asked, "__row", "left").mapInArrow(lambda it: _texts(it, keep, by_row), schema)
 

@@ -202,7 +202,7 @@ def test_token_batches_are_cut_by_bytes():
     import pyarrow as pa
 
     texts = pa.array(["a" * 10, None, "b" * 30, "", "c" * 5, "d" * 5])
-    assert list(token_files.cuts(texts, 12)) == [(0, 2), (2, 4), (4, 6)] and list(token_files.cuts(texts.slice(0, 0))) == []
+    assert list(token_files.cuts(texts, 12)) == [(0, 2), (2, 3), (3, 6)] and list(token_files.cuts(texts.slice(0, 0))) == []
 
 
 # 4
@@ -281,6 +281,41 @@ def test_html_wrappers_do_not_condemn_articles():
     assert html_text.main_text("<body class='single comments-open'><p>kept</p></body>", lambda k: False) == "kept"
 
 
+def test_html_style_tree_decides_inside_articles(spark):
+    promo = lambda t: f'<div class="x7"><p>{t}</p></div>'
+    body = lambda i, t: page(f'<article class="post"><h1>Same heading</h1><p>own words {i} of this text and some more of them</p>{promo(t)}<p>end {i}</p></article><div class="q">beside {i}</div>')
+    rows = [(i, f"http://a.example/{i}", body(i, "join our list")) for i in range(40)] + [(40, "http://a.example/40", body(40, "a box of its own"))]
+    rows += [(100 + i, f"http://few.example/{i}", body(i, "join our list")) for i in range(5)]  # too few pages to tell
+    rows += [(200 + i, f"http://mirror.example/{i}", body(7, "join our list").replace("beside 7", f"beside {i}")) for i in range(20)]  # one article on all pages
+    want = lambda i, t: "\n".join(["Same heading", f"own words {i} of this text and some more of them", *([t] if t else []), f"end {i}"])
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for listed in (100, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(p, listed=listed).collect()}
+        assert all(got[i] == want(i, "") for i in range(40)) and got[40] == want(40, "a box of its own")
+        assert all(got[100 + i] == want(i, "join our list") for i in range(5))
+        assert all(got[200 + i] == want(7, "join our list") for i in range(20))
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    for bad in ("<div>a", "<blockquote>a", "<li><b>", "<p><section><blockquote>"):
+        began, n = time.process_time(), 50_000
+        text = html_text.main_text("<body>" + bad * n + "</foo></div></p>" * n, lambda k: False)
+        assert time.process_time() - began < 20 and text.count("a") in (0, n)
+
+
+def test_html_edges(spark):
+    rows = [(1, "http://e.example/", "<p>one"), (1, "http://e.example/", "<p>one"), (None, None, None), (2, "http://e.example/", ""), (3, "x", "<p>" + "long " * 200_000), (4, "http://e.example/", "\ud7ff<p>&#x110000; &bogus; &amp")]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("text", "host", "page", "up", "keys", "content", "__row_", "n_chars"):
+        p = p.withColumn(c, F.lit("clash"))
+    got = html_text.extract(p, keep=("page_id", "host", "keys")).collect()
+    assert len(got) == len(rows) and {r["host"] for r in got} == {r["keys"] for r in got} == {"clash"}
+    by = {r["page_id"]: r["text"] for r in got}
+    assert by[1] == "one" and by[None] == by[2] == "" and len(by[3]) == 5 * 200_000 - 1
+
+
 # 6, 7
 
 
