@@ -9,7 +9,7 @@ counts and a spanning forest, not pairs; a pair that shares several shards count
 Shards that no pivots split (many nearly equal vectors) are compared exactly, as blocks against blocks; a pair that shares
 such shards counts in the least of these, as nothing is missed there.
 
-``audit`` compares the links of every vector whose id is divisible by 50 with brute force against all rows, in blocks; below
+``audit`` compares the links of vectors whose id is divisible by 50 (a bounded sample of them) with brute force against all rows; below
 ``TARGET`` recall the build is repeated with more overlap. More links than there are, or a recall below ``LEAST`` at the last build, is an error.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or vec_id,
@@ -18,8 +18,11 @@ link with nothing; vectors of different lengths never link; repeated rows are ve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,10 @@ NEAREST = 6
 ALPHA = 1.2
 HOPS = 24
 BLOCK = 1024
+#: Rows that are dealt out as one.
+CHUNK = 1024
+#: Bounds of the audit's queries.
+AUDITED, AUDIT_BYTES = 20_000, 32 << 20
 TARGET = 0.98
 LEAST = 0.9
 
@@ -208,6 +215,19 @@ def spread(pivots: np.ndarray) -> np.ndarray:
     return pivots[kept]
 
 
+def _deal(it: Iterator[pa.RecordBatch], overlap: int) -> Iterator[pa.RecordBatch]:
+    """Each vector of a chunk to its ``overlap`` nearest pivots."""
+    for b in it:
+        for i in range(b.num_rows):
+            shard, rows, pivots = b.column("shard")[i].as_py(), b.column("rows")[i].values, b.column("pivots")[i].values
+            own = rows.field("embedding")
+            x = unit(own.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
+            order = np.argsort(-(x @ spread(unit(pivots.flatten().to_numpy(zero_copy_only=False).reshape(len(pivots), -1))).T), axis=1, kind="stable")[:, :overlap]
+            k = order.shape[1]
+            at = pa.array(np.repeat(np.arange(len(rows)), k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows) * k, shard)), pa.array(order.ravel().astype(np.int32)), rows.field("node").take(at), own.take(at), rows.field("copies").take(at)], names=["parent", "k", "node", "embedding", "copies"])
+
+
 def shards_of(nodes: DataFrame, overlap: int, shard: int = SHARD) -> DataFrame:
     """(shard, node, label, embedding, copies): each node in its ``overlap`` nearest shards at every level."""
     now = nodes.select(F.xxhash64("label", "dim").alias("shard"), "node", "embedding", "copies")
@@ -223,19 +243,15 @@ def shards_of(nodes: DataFrame, overlap: int, shard: int = SHARD) -> DataFrame:
         # pivots: about as many as shards are wanted, by a hash, FANOUT at most
         want = F.least(F.lit(FANOUT), F.ceil(F.col("size") / shard * overlap * 1.5).cast("int"))
         lot = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
-        chosen = now.join(large, "shard").where(lot < want * 2 / F.col("size")).groupBy("shard").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "embedding"))), 1, 2 * FANOUT).alias("p"))
-        pivots = chosen.select("shard", F.col("p.embedding").alias("pivots")).where(F.size("pivots") > 1)
-
-        def deal(it, overlap=overlap):
-            for pdf in it:
-                for _, own in pdf.groupby("shard", sort=False):
-                    p = spread(unit(own["pivots"].iloc[0]))
-                    order = np.argsort(-(unit(own["embedding"]) @ p.T), axis=1, kind="stable")[:, :overlap]
-                    k = order.shape[1]
-                    yield pd.DataFrame({"parent": np.repeat(own["shard"].to_numpy(), k), "k": order.ravel(), "node": np.repeat(own["node"].to_numpy(), k), "embedding": own["embedding"].repeat(k).to_numpy(), "copies": np.repeat(own["copies"].to_numpy(), k)})
-
+        of_large = now.join(large, "shard")
+        chosen = of_large.where(lot < want * 2 / F.col("size")).groupBy("shard", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "embedding"))), 1, 2 * FANOUT).alias("p"))
+        pivots = checkpoint(chosen.select("shard", F.col("p.embedding").alias("pivots"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")).where(F.size("pivots") > 1))
+        # rows go out in chunks of about CHUNK, each with its shard's pivots once
+        rows = now.join(pivots.select("shard", "chunks"), "shard").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(-level - 1)), F.col("chunks")).cast("int"))
+        chunks = rows.groupBy("shard", "chunk").agg(F.collect_list(F.struct("node", "embedding", "copies")).alias("rows"))
+        each = pivots.select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "pivots")
         kind = dict(nodes.dtypes)["embedding"]
-        split = now.join(pivots, "shard").select("shard", "node", "embedding", "copies", "pivots").mapInPandas(deal, f"parent long, k int, node long, embedding {kind}, copies long")
+        split = chunks.join(each, ["shard", "chunk"]).select("shard", "rows", "pivots").mapInArrow(lambda it: _deal(it, overlap), f"parent long, k int, node long, embedding {kind}, copies long")
         unsplit = now.join(large.select("shard"), "shard", "left_semi").join(pivots.select("shard"), "shard", "left_anti")
         now = split.select(F.xxhash64("parent", "k", F.lit(level)).alias("shard"), "node", "embedding", "copies").union(unsplit.select("shard", "node", "embedding", "copies"))
     return done.union(checkpoint(now))
@@ -279,25 +295,39 @@ def links_of(nodes: DataFrame, overlap: int) -> DataFrame:
 
 
 def audit(nodes: DataFrame, counts: DataFrame, every: int = 50) -> float:
-    """Share of the true links of nodes with an id divisible by ``every``, by brute force against all nodes in blocks, that ``counts(node, n)`` holds. A node with more links than true ones is an error."""
-    blocks = max(1, nodes.count() // 20_000)
-    rows = nodes.select(F.xxhash64("label", "dim").alias("g"), "node", "embedding", "copies", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("b"))
-    q = rows.where(F.col("node") % every == 0).select("g", "node", "embedding", "copies", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("side"))
-    both = rows.withColumn("side", F.lit(0)).select("g", "node", "embedding", "copies", "b", "side").union(q.select("g", "node", "embedding", "copies", "b", "side"))
-
-    def true(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"node": [], "t": [], "most": []}).astype("int64")
-        y, w, out, most = unit(b["embedding"]), b["copies"].to_numpy(), [], []
-        for lo in range(0, len(a), BLOCK):
-            some = a.iloc[lo : lo + BLOCK]
-            sim, other = unit(some["embedding"]) @ y.T, some["node"].to_numpy()[:, None] != b["node"].to_numpy()[None, :]
-            out.append(((sim >= COSINE) & other) @ w)
-            most.append(((sim >= COSINE - 1e-9) & other) @ w)  # with those that rounding may let in
-        return pd.DataFrame({"node": a["node"].to_numpy(), "t": np.concatenate(out), "most": np.concatenate(most)})
-
-    truth = both.groupBy("g", "b").applyInPandas(true, "node long, t long, most long").groupBy("node").agg(F.sum("t").alias("t"), F.sum("most").alias("most"))
+    """Share of the true links, by brute force against all nodes, that ``counts(node, n)`` holds for the nodes with an id divisible by ``every``.
+
+    Of more such nodes than AUDITED, or than AUDIT_BYTES hold, those with the least hashes are asked: they are broadcast, and every batch of nodes
+    is multiplied with them where it lies. A node with more links than true ones is an error.
+    """
+    found = nodes.where(F.col("node") % every == 0)
+    dims = found.agg(F.max("dim")).first()[0]
+    if dims is None:
+        return 1.0
+    asked = found.withColumn("h", F.xxhash64("node")).orderBy("h").limit(max(1, min(AUDITED, AUDIT_BYTES // (8 * dims)))).select("label", "dim", "node", "embedding").collect()
+    by: dict[tuple, list[tuple[int, list[float]]]] = {}
+    for r in asked:
+        by.setdefault((r["label"], r["dim"]), []).append((r["node"], r["embedding"]))
+    sent = nodes.sparkSession.sparkContext.broadcast({k: (np.array([n for n, _ in v]), unit([e for _, e in v])) for k, v in by.items()})
+
+    def true(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, sums = sent.value, {}
+        for pdf in it:
+            for key, own in pdf.groupby(["label", "dim"], sort=False):
+                ids, x = known.get(key, (None, None))
+                if ids is None:
+                    continue
+                t, most = sums.setdefault(key, (np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)))
+                for lo in range(0, len(own), BLOCK):
+                    some = own.iloc[lo : lo + BLOCK]
+                    sim, w = x @ unit(some["embedding"]).T, some["copies"].to_numpy()
+                    other = ids[:, None] != some["node"].to_numpy()[None, :]
+                    t += ((sim >= COSINE) & other) @ w
+                    most += ((sim >= COSINE - 1e-9) & other) @ w  # with those that rounding may let in
+        for key, (t, most) in sums.items():
+            yield pd.DataFrame({"node": known[key][0], "t": t, "most": most})
+
+    truth = nodes.select("label", "dim", "node", "embedding", "copies").mapInPandas(true, "node long, t long, most long").groupBy("node").agg(F.sum("t").alias("t"), F.sum("most").alias("most"))
     n = F.coalesce("n", F.lit(0))
     t, n, over = truth.join(counts, "node", "left").agg(F.sum("t"), F.sum(F.least(n, F.col("t"))), F.count(F.when(n > F.col("most"), 1))).first()
     if over:
