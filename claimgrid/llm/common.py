@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where that is unset (tests) a temporary one is made."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary one; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not at:
         known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="claimgrid-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
@@ -50,17 +53,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest vertex reachable from each vertex of ``edges(u, v)``, as ``(node, component)``.
 
     Alternating large-star and small-star rounds: each is two aggregations by key, no round holds a
-    neighbourhood in one row, and the number of rounds grows with the logarithm of the longest chain.
+    neighbourhood in one row, and the number of rounds, which end at the fixed point, grows with the logarithm of the longest chain.
     Every round is checkpointed. Empty edges give an empty result; nulls in u or v are left out.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = checkpoint(e)
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every neighbour above a node is tied to the least node around it
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -73,8 +76,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

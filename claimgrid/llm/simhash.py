@@ -40,6 +40,8 @@ PAIRS = 4096
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: A fingerprint with over a SHARE-th of all rows is frequent.
+SHARE = 1000
 
 
 def fingerprint(text: str | None, n: int = 3) -> int:
@@ -287,13 +289,18 @@ def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id of the component) for every row of ``docs(doc_id, text)``."""
     rows = written(fingerprints(docs), "fingerprints")
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     found = checkpoint(links(distinct.select("fp"), distinct.count()))
     groups = connected_components(found)
     of = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = checkpoint(of.join(least, "component").select("fp", "component_id", "n"))
+    # fingerprints with over a share of all rows are fewer than SHARE: they go out by broadcast and their rows stay where they are
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = F.col("n") * SHARE > total
+    frequent = F.broadcast(named.where(common).select("fp", "component_id"))
+    rest = rows.join(frequent, "fp", "left_anti").join(named.where(~common).select("fp", "component_id"), "fp")
+    return rows.join(frequent, "fp").select("doc_id", "fp", "component_id").union(rest.select("doc_id", "fp", "component_id"))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
