@@ -1,13 +1,14 @@
 """Language ID by string kernels: blended-spectrum presence, Nystroem landmarks, one-versus-rest kernel ridge regression.
 
 A text is the set of its character n-grams (n = 1 to ``NGRAMS``, letters lower-cased, runs of anything else one
-space), hashed to ``DIM`` places. The kernel of two texts is the number of places they share over the root of
-the product of their numbers. Landmarks and training texts are a bounded sample of the labelled rows, spread
+space), hashed to 2**16 places (fewer where there are so many languages that the weights would pass ``MODEL_BYTES``). The kernel of two texts is the
+number of places they share over the root of the product of their numbers. All languages are learned. Landmarks (``LANDMARKS`` in all) and training
+texts (``PER_LANGUAGE`` rows of a language, ``SAMPLE`` rows and about ``SAMPLE_BYTES`` of places in all, at least one row of each language) are a bounded sample of the labelled rows, spread
 evenly over the languages; all else covers every row. As the regression is linear in the landmark kernels, and
 those in the presence bits, the landmark matrix and the coefficients are multiplied once and a batch of texts is
-scored by one product of its (sparse) presence matrix with the result. No text is shuffled.
+scored by one product of its (sparse) presence matrix with the result. No text is shuffled but those of the sample.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null or empty label teach nothing; with
+Cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null or empty label teach nothing, and repeated ones teach once; with
 no labelled row every text is ``und``; a null doc_id is not held out; repeated rows each get a row.
 """
 
@@ -22,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import checkpoint, crc_mod, table
 
-DIM_BITS = 16
-DIM = 1 << DIM_BITS
+DIM_BITS, LEAST_BITS = 16, 10
 NGRAMS = 3
-#: Bounds of the training sample and of the landmarks among it, for each language; and of the languages, the most frequent first.
-PER_LANGUAGE, LANDMARKS_EACH, LANGUAGES = 600, 64, 200
+#: Bounds of the training sample: rows of a language, rows and bytes of places in all; of the landmarks of a language and in all; of the weights.
+PER_LANGUAGE, SAMPLE, SAMPLE_BYTES = 600, 24_000, 128 << 20
+LANDMARKS_EACH, LANDMARKS = 64, 1024
+MODEL_BYTES = 64 << 20
+#: Most languages whose shares are broadcast, a short row each.
+LISTED = 100_000
 SHARPNESS = 6.0
 UND = "und"
 
@@ -44,7 +48,12 @@ def letters() -> np.ndarray:
     return out
 
 
-def presence(text: str | None) -> np.ndarray:
+def bits_for(languages: int) -> int:
+    """Bits of a place: as many as keep the weights of so many languages within MODEL_BYTES."""
+    return max(LEAST_BITS, min(DIM_BITS, (MODEL_BYTES // (4 * max(1, languages))).bit_length() - 1))
+
+
+def presence(text: str | None, bits: int = DIM_BITS) -> np.ndarray:
     """Sorted hashed places of the text's n-grams; empty if the text has no letter."""
     if not text:
         return np.zeros(0, np.int32)
@@ -53,18 +62,18 @@ def presence(text: str | None) -> np.ndarray:
     if space.all():
         return np.zeros(0, np.int32)
     cp = np.concatenate([[32], cp[~(space & np.concatenate([[True], space[:-1]]))], [32]]).astype(np.uint32)
-    seen = np.zeros(DIM, bool)
+    seen = np.zeros(1 << bits, bool)
     gram = cp.copy()
     for n in range(1, NGRAMS + 1):
         if n > 1:
             gram = gram[:-1] * np.uint32(0x01000193) + cp[n - 1 :]
         h = gram * np.uint32(0x9E3779B1) + np.uint32(n * 0x7F4A7C15 & 0xFFFFFFFF)
-        seen[(h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - DIM_BITS)] = True
+        seen[(h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)] = True
     return np.flatnonzero(seen).astype(np.int32)
 
 
-def rows_matrix(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), DIM), np.float32)
+def rows_matrix(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    out = np.zeros((len(sets), 1 << bits), np.float32)
     for i, s in enumerate(sets):
         out[i, s] = 1 / np.sqrt(max(len(s), 1))
     return out
@@ -73,8 +82,9 @@ def rows_matrix(sets: list[np.ndarray]) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # DIM x languages
+    weights: np.ndarray  # places x languages
     bias: np.ndarray
+    bits: int = DIM_BITS
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
         """Batched product of the presence matrix with the weights; rows hold no more than their set places."""
@@ -87,63 +97,87 @@ class Model:
         return sums + self.bias
 
 
-def fit(sample: list[tuple[str, np.ndarray]], landmarks_each: int = LANDMARKS_EACH, ridge: float = 1e-3) -> Model:
-    """Kernel ridge regression on Nystroem features of ``(language, presence)`` pairs."""
+def kernels(sets: list[np.ndarray], marks: list[np.ndarray], bits: int, step: int = 128) -> np.ndarray:
+    """Kernel of each of ``sets`` with each landmark; dense in blocks only."""
+    out = np.zeros((len(sets), len(marks)))
+    for lo in range(0, len(marks), step):
+        some = rows_matrix(marks[lo : lo + step], bits)
+        for i in range(0, len(sets), step):
+            out[i : i + step, lo : lo + step] = rows_matrix(sets[i : i + step], bits) @ some.T
+    return out
+
+
+def fit(sample: list[tuple[str, np.ndarray]], bits: int = DIM_BITS, landmarks_each: int = LANDMARKS_EACH, landmarks: int = LANDMARKS, ridge: float = 1e-3) -> Model:
+    """Kernel ridge regression on Nystroem features of ``(language, presence)`` pairs; the first of each language are the landmarks, in turn."""
     languages = sorted({lang for lang, _ in sample})
     if not languages:
-        return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0))
-    by = {lang: [s for other, s in sample if other == lang] for lang in languages}
-    marks = rows_matrix([s for lang in languages for s in by[lang][:landmarks_each]])
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), bits)
+    index = {lang: i for i, lang in enumerate(languages)}
+    own = np.array([index[lang] for lang, _ in sample])
+    sizes, turn = np.zeros(len(languages), np.int64), []
+    for k, i in enumerate(own):
+        if sizes[i] < landmarks_each:
+            turn.append((int(sizes[i]), k))
+        sizes[i] += 1
+    marks = [sample[k][1] for _, k in sorted(turn)[:landmarks]]
+    values, vectors = np.linalg.eigh(kernels(marks, marks, bits))
     kept = values > 1e-6 * values.max()
     half = vectors[:, kept] / np.sqrt(values[kept])
-    kernels = np.concatenate([rows_matrix([s for _, s in sample[i : i + 256]]) @ marks.T for i in range(0, len(sample), 256)])
-    features = kernels @ half
-    target = np.array([[1.0 if lang == other else -1.0 for other in languages] for lang, _ in sample])
-    weight = np.array([1 / len(by[lang]) for lang, _ in sample])
-    weight = (weight / weight.mean())[:, None]  # languages weigh alike
-    bias = (weight * target).sum(0) / weight.sum()
-    gram = features.T @ (weight * features) + ridge * len(sample) * np.eye(features.shape[1])
-    alpha = half @ np.linalg.solve(gram, features.T @ (weight * (target - bias)))
-    return Model(languages, (marks.T @ alpha).astype(np.float32), bias)
-
-
-def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Fits on a sample of the rows where ``keep`` holds; at most about ``per_language`` rows (by a hash of doc_id) for each of the most frequent languages."""
-    known = docs.where(keep & F.col("lang").isNotNull() & (F.col("lang") != ""))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    if not counts:
+    weight = 1 / sizes[own]
+    weight = weight / weight.mean()  # languages weigh alike
+    share = np.bincount(own, weight, minlength=len(languages)) / weight.sum()
+    bias = 2 * share - 1
+    gram, cross = ridge * len(sample) * np.eye(half.shape[1]), np.zeros((half.shape[1], len(languages)))
+    for lo in range(0, len(sample), 256):
+        x = kernels([s for _, s in sample[lo : lo + 256]], marks, bits) @ half
+        w = weight[lo : lo + 256, None] * x
+        gram += x.T @ w
+        cross -= w.sum(axis=0)[:, None] * (1 + bias)  # targets are -1 but for the own language
+        np.add.at(cross.T, own[lo : lo + 256], 2 * w)
+    alpha = half @ np.linalg.solve(gram, cross)
+    weights = np.zeros((1 << bits, len(languages)), np.float32)
+    for s, a in zip(marks, alpha, strict=True):
+        weights[s] += (a / np.sqrt(max(len(s), 1))).astype(np.float32)
+    return Model(languages, weights, bias, bits)
+
+
+def train(docs: DataFrame, keep: Column, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on a sample, by a hash of doc_id and text, of the rows where ``keep`` holds: every language, and of each about as many rows as the bounds allow."""
+    known = docs.where(keep & F.col("lang").isNotNull() & (F.col("lang") != "")).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(6)).alias("h"))
+    each = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.lit(4 << DIM_BITS).cast("long"), F.lit(12) * F.coalesce(F.length("text"), F.lit(0)).cast("long"))).alias("bytes"), F.min("h").alias("first"))
+    n_languages = each.count()
+    if not n_languages:
         return fit([])
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (place < min(1.0, per_language / n)))
+    bits = bits_for(n_languages)
+    most = F.least(F.lit(per_language / 1.0), F.lit(sample / n_languages))
+    share = F.least(F.lit(1.0), most / F.col("n"), F.lit(sample_bytes / n_languages) / F.greatest("bytes", F.lit(1)))
+    shares = checkpoint(each.select(F.col("lang").alias("l"), share.alias("share"), "first"))
+    shares = F.broadcast(shares) if n_languages <= LISTED else shares
+    place = F.pmod("h", F.lit(1 << 40)).cast("double") / float(1 << 40)
+    wanted = known.join(shares, F.col("lang") == F.col("l")).where((place < F.col("share")) | (F.col("h") == F.col("first"))).dropDuplicates(["lang", "h"])
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([presence(t).tolist() for t in b.column("text").to_pylist()], pa.list_(pa.int32())), b.column("doc_id")], names=["lang", "places", "doc_id"])
-
-    got = known.where(wanted).select("lang", "text", F.col("doc_id").cast("long")).mapInArrow(sets, "lang string, places array<int>, doc_id long").toArrow().to_pylist()
-    got = sorted((r for r in got if r["places"]), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, len(r["places"])))
-    got.sort(key=lambda r: hash_place(r["doc_id"]))
-    return fit([(r["lang"], np.array(r["places"], np.int32)) for r in got])
-
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([presence(t, bits) for t in b.column("text").to_pylist()], pa.list_(pa.int32())), b.column("h")], names=["lang", "places", "h"])
 
-def hash_place(doc_id: int | None) -> int:
-    return ((doc_id or 0) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    got = wanted.select("lang", "text", "h").mapInArrow(sets, "lang string, places array<int>, h long").toArrow().combine_chunks().sort_by("h")
+    places = got.column("places").combine_chunks()
+    flat, offsets = places.values.to_numpy(), places.offsets.to_numpy()
+    rows = zip(got.column("lang").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+    return fit([(lang, flat[a:z]) for lang, a, z in rows if z > a], bits)
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred and score."""
     kinds = dict(docs.dtypes)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for whole in it:
             for lo in range(0, whole.num_rows, 128):
                 b = whole.slice(lo, 128)
-                sets = [presence(t) for t in b.column("text").to_pylist()]
+                sets = [presence(t, m.bits) for t in b.column("text").to_pylist()]
                 lang, score = [UND] * len(sets), np.zeros(len(sets))
                 if m.languages and sets:
                     s = m.scores(sets)
