@@ -3,11 +3,11 @@
 Words are runs of letters, runs of digits and runs of other signs, case kept; the features are the distinct words and word
 pairs, hashed to ``DIM`` places, scaled to length 1, and two places of value 1 for the share of words that repeat one of the
 two before them and the share of signs (both in steps, as hashed n-grams alone don't tell a repeated word from a used one). FTRL-proximal passes over a bounded sample of the labelled rows
-(``SAMPLE`` rows at most, by a hash of doc_id); every row of the table is scored over its whole text, without a shuffle of texts.
+(``SAMPLE`` at most, by a hash of doc_id; of rows that share a doc_id that with the least hash of its text teaches); every row of the table is scored over its whole text, without a shuffle of texts.
 
 Cases: null and empty texts have no feature and get the score of the intercept; rows with a null label teach nothing, nor
-do labels of unknown documents; without labels every score is 0.5; a null doc_id is not held out; a document labelled twice teaches
-twice; repeated rows each get a row.
+do labels of unknown documents; without labels every score is 0.5; a null doc_id is not held out; a document labelled twice alike teaches
+once; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([features(t).tolist() for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "label", "places"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(sets, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, places array<int>").toArrow()
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("x"))
+    rows = held.select("doc_id", "label", "x.text").mapInArrow(sets, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, places array<int>").toArrow()
     rows = sorted(rows.to_pylist(), key=lambda r: (r["doc_id"], r["label"], r["places"]))
     return fit([(np.array(r["places"], np.int64), int(r["label"] == 1)) for r in rows])
 
