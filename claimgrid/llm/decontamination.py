@@ -5,9 +5,9 @@ beyond ASCII). Every 13 consecutive words of an item are a pattern; an item of f
 is one pattern. Each text is scanned once, whole; matches are kept as word spans and as byte offsets of
 the original text.
 
-Scale: documents are not shuffled. The items are broadcast only as far as ``block_bytes`` goes; a larger
-benchmark is cut into blocks by item, each block is an automaton of its own, and the spans found for a
-document are united afterwards by a row number, so results don't depend on the number of blocks.
+Scale: documents are not shuffled. An automaton takes up to about ``NODE_BYTES`` bytes of memory for each byte of its items (measured: 243 MB for 0.5 MB),
+so the items are cut into blocks of ``automaton_bytes / NODE_BYTES`` bytes, each an automaton of its own in a pass of its own, and the spans found for a
+document are united afterwards by a row number, so results don't depend on the number of blocks. An item that is longer than a block is a block's only one.
 
 Cases: null and empty texts have no words and are clean; items without words match nothing; items are told apart by
 item_id (null is one id); repeated documents are rows of their own; an empty benchmark leaves every document clean.
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, table
 
 WINDOW = 13
+NODE_BYTES, AUTOMATON_BYTES = 500, 256 << 20
 #: UTF-8 byte to byte of the normalised text: letters and digits stay, A-Z become small, other ASCII is a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -92,11 +93,11 @@ def byte_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(begin[a], end[b - 1]) for a, b in spans]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``docs`` with n_words, spans (hit words, and their bytes in the original) and item_ids for every row."""
     items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    blocks = max(1, -(-total * NODE_BYTES // automaton_bytes))
     parts = []
     rows = docs.select(*(c for c in keep if c != "text"), "text")
     rows = rows if blocks == 1 else checkpoint(rows.withColumn("__row", F.monotonically_increasing_id()))
