@@ -3,7 +3,7 @@
 Private values are found by one pattern, validated (Luhn for card numbers, modulo 97 for IBANs, calendar and octet ranges for
 dates and addresses) and replaced by keyed Feistel permutations of their own format: a card number becomes another valid
 card number of its length, a date another date between 1900 and 2099, an IPv4 address another, the digits of a telephone or
-social security number other digits, letters and digits of a mail box or secret others of their class. The permutation depends
+social security number other digits (of one that can be given out), letters and digits of a mail box or secret others of their class. The permutation depends
 on the key and the value alone, so equal values stay linked across documents and different ones stay apart. What is not
 valid (say, sixteen digits that fail Luhn) stays as it is; of a longer row of digit groups that is no card, the card in it is taken, as do all characters outside the values.
 
@@ -159,6 +159,16 @@ def other_digits(key: str, kind: str, m: Column) -> Column:
     return refilled(m, let(digits_of(m), lambda d: F.concat(F.substr(d, F.lit(1), F.greatest(F.length(d) - 10, F.lit(0))), permuted(key, kind, F.right(d, F.lit(10))))))
 
 
+#: Social security numbers that are never given out.
+NO_SSN = r"^(?:000|666|9..)|-00-|-0000$"
+
+
+def other_ssn(key: str, m: Column) -> Column:
+    """Another number that can be given out: the permutation goes on until it meets one."""
+    step = lambda v: other_digits(key, "ssn", v)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(15)), step(m), lambda acc, i: F.when(acc.rlike(NO_SSN), step(acc)).otherwise(acc))
+
+
 def whole(pattern: str) -> str:
     """The shape for a value that was cut out: what looks around it is gone."""
     import re
@@ -174,7 +184,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(whole(SHAPES["iban"])) & (mod97(F.regexp_replace(m, " ", "")) == 1), "iban")
         .when(m.rlike(whole(SHAPES["ip"])), F.when(octets, "ip"))
         .when(m.rlike(whole(SHAPES["date"])), F.when(date_of(m).isNotNull(), "date"))
-        .when(m.rlike(whole(SHAPES["ssn"])), F.when(~m.rlike(r"^(?:000|666|9..)|-00-|-0000$"), "ssn"))
+        .when(m.rlike(whole(SHAPES["ssn"])), F.when(~m.rlike(NO_SSN), "ssn"))
         .when(m.rlike(whole(SHAPES["phone"])), "phone")
         .when(m.rlike(whole(SHAPES["card"])), F.when(luhn_sum(digits_of(m)) % 10 == 0, "card"))
         .when(~m.rlike("[ .@]"), "secret")
@@ -191,7 +201,7 @@ def pseudonym(key: str, m: Column, kind: Column) -> Column:
         .when(kind == "date", other_date(key, m))
         .when(kind == "card", other_card(key, m))
         .when(kind == "secret", permuted(key, "secret", m))
-        .when(kind == "ssn", other_digits(key, "ssn", m))
+        .when(kind == "ssn", other_ssn(key, m))
         .otherwise(other_digits(key, "phone", m))
     )
 
@@ -248,6 +258,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", keep: tuple[
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    """doc_id, text with pseudonyms, n_private and the kinds found: one row for each row of documents."""
-    out = pseudonymise(table(spark, sf_dir, "documents"), key="claimgrid")
+    """doc_id, text with pseudonyms, n_private and the kinds found: one row for each row of documents. The key is the session's ``spark.claimgrid.pseudonym.key``; the default is for tests."""
+    out = pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.claimgrid.pseudonym.key", "claimgrid"))
     return out.select("doc_id", "text", F.size("found").cast("long").alias("n_private"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))), ",").alias("kinds"))
