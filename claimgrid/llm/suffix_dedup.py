@@ -6,7 +6,7 @@ anchors at equal offsets, so windows meet only under one anchor. The windows tha
 the bytes they cover are its span.
 
 1. Anchors are counted by key; what no other occurrence shares is unique and done. A bitmap of the shared keys, of bounded size, lets the
-   second pass drop the rest at the source; a false hit only costs a row.
+   second pass drop the rest at the source; a false hit only costs a row. Of over 2**24 shared keys each further 2**24 take another pass and bitmap.
 2. Equal spans under a key are repeats as a whole.
 3. The distinct spans of a key whose occurrences differ are compared byte by byte: a difference-cover suffix array (triples at
    positions 1 and 2 mod 3 are sorted and named, the names sorted by recursion, the remaining suffixes merged in), then every window start with its
@@ -176,7 +176,7 @@ def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
 OCCURRENCE = "key long, span long, t1 long, t2 long, packed long, bytes binary"
 
 
-def _occurrences(it: Iterator[pa.RecordBatch], shared, mixed, bits: int) -> Iterator[pa.RecordBatch]:
+def _occurrences(it: Iterator[pa.RecordBatch], shared, mixed, bits: int, turn: int = 0, turns: int = 1) -> Iterator[pa.RecordBatch]:
     some, differ, mask, told = shared.value, mixed.value, (1 << bits) - 1, set()
     for b in it:
         for lo in range(0, b.num_rows, 256):
@@ -187,6 +187,8 @@ def _occurrences(it: Iterator[pa.RecordBatch], shared, mixed, bits: int) -> Iter
                 for p, first, last in anchors(raw):
                     key = xxh3_64_intdigest(raw[p : p + GRAM])
                     k = key & mask
+                    if turns > 1 and (key >> 32) % turns != turn:
+                        continue
                     if some[k >> 3] >> (k & 7) & 1:
                         span = raw[first : last + WINDOW]
                         h, body = span_hash(span, p - first), None
@@ -233,16 +235,22 @@ def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([span] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([signed(x >> 64) for x in h], pa.int64()), pa.array([signed(x & M64) for x in h], pa.int64())], names=["key", "span", "a", "h1", "h2"])
 
 
-def repeats(rows: DataFrame, hot: int = HOT) -> DataFrame:
+def repeats(rows: DataFrame, hot: int = HOT, most_keys: int = 1 << (MOST_BITS - 4)) -> DataFrame:
     """(t1, t2, lo, hi): runs of window starts of a row that occur elsewhere, too."""
     spark = rows.sparkSession
     # equal rows are one identity; their windows still count for each of them
     counts = rows.select("text").mapInArrow(_keys, "key long, span long").groupBy("key").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     keys = checkpoint(counts.where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
     n = keys.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-    sent = [spark.sparkContext.broadcast(bitmap(k, bits)) for k in (keys, keys.where("mixed"))]
-    found = written(rows.select("text", "t1", "t2").mapInArrow(lambda it: _occurrences(it, sent[0], sent[1], bits), OCCURRENCE), "suffix-occurrences")
+    # a bitmap holds up to a sixteenth of its bits; of more keys, each share by the key's upper half has a pass of its own
+    turns = max(1, -(-n // most_keys))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * -(-n // turns)).bit_length()))
+    found = None
+    for turn in range(turns):
+        own = keys if turns == 1 else keys.where(F.shiftrightunsigned("key", 32) % turns == turn)
+        sent = [spark.sparkContext.broadcast(bitmap(k, bits)) for k in (own, own.where("mixed"))]
+        some = written(rows.select("text", "t1", "t2").mapInArrow(lambda it, sent=sent, turn=turn: _occurrences(it, sent[0], sent[1], bits, turn, turns), OCCURRENCE), "suffix-occurrences")
+        found = some if found is None else found.union(some)
     classes = checkpoint(found.groupBy("key", "span").agg(F.count("*").alias("n")))
     per_key = classes.groupBy("key").agg(F.count("*").alias("spans"))
     mixed = checkpoint(per_key.where("spans > 1"))
@@ -281,10 +289,10 @@ def removed_spans(starts: list[tuple[int, int]] | None, window: int = WINDOW) ->
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT, most_keys: int = 1 << (MOST_BITS - 4)) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (removed byte runs) for every row of ``docs(doc_id, text)``."""
     rows = _ids(docs)
-    by_row = repeats(rows, hot).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")).withColumnsRenamed({"t1": "u1", "t2": "u2"})
+    by_row = repeats(rows, hot, most_keys).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")).withColumnsRenamed({"t1": "u1", "t2": "u2"})
     joined = rows.join(by_row, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left").select("doc_id", "text", "starts")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
