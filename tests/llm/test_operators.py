@@ -208,15 +208,15 @@ def test_token_batches_are_cut_by_bytes():
 # 4
 
 
-@pytest.mark.parametrize("block_bytes", [32_000_000, 40])
-def test_decontamination_is_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("automaton_bytes", [256 << 20, 20_000])
+def test_decontamination_is_brute_force(spark, automaton_bytes):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(8)]
     line = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, line(rng.choice([0, 1, 2, 14, 20]))) for i in range(12)] + [(90, None), (91, "!!")]
     rows = [(i, line(rng.randint(0, 30)).replace(" ", "-! "), None, None) for i in range(40)] + [(50, items[3][1].upper() + " Ä " + (items[5][1] or ""), None, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: r for r in decontamination.find(docs(spark, rows), bench, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: r for r in decontamination.find(docs(spark, rows), bench, automaton_bytes=automaton_bytes).collect()}
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     for i, t, *_ in rows:
         w, hit, its = norm(t), set(), set()
@@ -332,6 +332,34 @@ def test_language_on_held_out_texts(spark, edge):
     assert language.predict(edge, language.train(edge.limit(0), F.lit(True))).where("lang_pred = 'und'").count() == len(EDGE)
 
 
+def test_language_learns_more_than_two_hundred(spark):
+    rng = random.Random(16)
+    kinds = {f"l{k}": tuple(chr(0x4E00 + 7 * k + j) for j in range(6)) for k in range(230)}
+    rows = [(i, prose(rng, 12, kinds[k]), k, "s") for i, k in enumerate(list(kinds) * 4)] + [(9000 + i, "same words", "l0", "s") for i in range(50)]
+    model = language.train(docs(spark, rows + [(None, "no doc_id", None, "s")] * 3), F.col("doc_id") % 4 != 0)
+    assert len(model.languages) == 230 and model.bits < language.DIM_BITS + 1
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs(spark, rows[:920]), model).collect()}
+    assert sum(got[i] == k for i, _, k, _ in rows[:920]) >= 0.95 * 920
+    assert language.bits_for(4) == 16 and language.bits_for(8000) == 11 and language.bits_for(10**9) == language.LEAST_BITS
+
+
+def test_language_sample_is_bounded(spark):
+    rng = random.Random(17)
+    d = docs(spark, [(None if i % 3 else i, prose(rng, 5), "en" if i % 2 else "fr", "s") for i in range(400)])
+    seen = []
+    real = language.fit
+    language.fit, keep = (lambda sample, bits: seen.append(sample) or real(sample, bits)), F.lit(True)
+    try:
+        language.train(d, keep, per_language=20)
+        language.train(d.union(d).union(d), keep, per_language=20)
+        language.train(d, keep, sample=10)
+        language.train(d, keep, sample_bytes=1)
+    finally:
+        language.fit = real
+    assert 20 <= len(seen[0]) <= 80 and len(seen[2]) <= 30 and len(seen[3]) == 2
+    assert sorted(len(p) for _, p in seen[1]) and len(seen[1]) <= 2 * len(seen[0])
+
+
 def test_quality_on_held_out_texts(spark, edge):
     rng = random.Random(7)
     rows, labels = [], []
@@ -384,6 +412,25 @@ def test_cards_before_other_digits(spark):
     assert rows[5]["text"].endswith(", 4111111111111112 12")
 
 
+def test_social_security_numbers_stay_valid(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("no %03d-%02d-%04d.", F.col("id") % 898 + 1, F.col("id") % 99 + 1, F.col("id") * 3 + 1).alias("text")).where("text not like '% 666-%'")
+    out = pii.pseudonymise(rows, "k").select(F.explode("found").alias("f")).select("f.*").collect()
+    assert len(out) == rows.count() and {r["kind"] for r in out} == {"ssn"}
+    assert not any(re.search(pii.NO_SSN, r["new"]) or not re.fullmatch(r"\d{3}-\d{2}-\d{4}", r["new"]) for r in out)
+    assert len({r["new"] for r in out}) == len({r["old"] for r in out})
+
+
+def test_pseudonym_edges(spark):
+    d = docs(spark, [(1, "a@b.co", "en", "s"), (1, "a@b.co", "en", "s"), (None, None, None, None), (2, "", None, None), (3, "x" * 200_000 + " 10.0.0.1", None, None)])
+    for c in ("found", "kind", "__pieces_", "old", "new"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = pii.pseudonymise(d, "k", keep=("doc_id", "kind")).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 5 and len({r["text"] for r in got if r["doc_id"] == 1}) == 1 and by[None]["text"] is None and by[2]["text"] == ""
+    assert by[3]["found"][0]["kind"] == "ip" and {r["kind"] for r in got} == {"clash"}
+    assert pii.pseudonymise(d.limit(0), "k").count() == 0
+
+
 def test_permutations_are_injective(spark):
     n = 73_049
     df = spark.range(n).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("m")).where("pmod(xxhash64(m), 40) = 0")
@@ -403,15 +450,15 @@ def test_suffix_array_is_sorted():
         assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_repeats_are_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "most_keys"), [(2000, 1 << 24), (2, 1 << 24), (2000, 40)])
+def test_repeats_are_brute_force(spark, hot, most_keys):
     rng = random.Random(10)
     shared = [prose(rng, 90) for _ in range(4)]
     texts = [" ".join(rng.choice([prose(rng, rng.randint(1, 40)), rng.choice(shared)[rng.randint(0, 60) :]]) for _ in range(rng.randint(0, 4))) for _ in range(60)]
     texts += [texts[5], texts[5], "z" * 450, "ab" * 300, None, "", "é" * 150]
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
-    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), hot).collect()}
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), hot, most_keys).collect()}
     for i, r in enumerate(raws):
         gone = {k for s in range(len(r) - 199) if seen[r[s : s + 200]] > 1 for k in range(s, s + 200)}
         kept = bytes(b for k, b in enumerate(r) if k not in gone)
@@ -469,9 +516,79 @@ def test_embedding_links_in_shards_without_pivots(spark, monkeypatch):
         embeddings.audit(rows, spark.createDataFrame([(i, int(v) + 1) for i, v in enumerate(n)], "node long, n long"))
 
 
+def test_embedding_links_of_one_large_group(spark):
+    rng = np.random.default_rng(14)
+    near = rng.normal(size=32) + 0.01 * rng.normal(size=(3000, 32))
+    x = np.concatenate([near, rng.normal(size=(3000, 32))]).astype(np.float32)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(1)).withColumn("shard", F.lit(2)).withColumn("copies", F.lit(3))).collect()}
+    u = embeddings.unit(x)
+    hit = u @ u.T >= 0.98
+    np.fill_diagonal(hit, False)
+    n, mine = hit.sum(axis=1), np.array([got[i]["n_links"] for i in range(len(x))])
+    assert n[:3000].min() == 2999 and (mine[:3000] == n[:3000]).all() and (mine <= n).all() and mine.sum() >= 0.99 * n.sum()
+    assert all(got[i]["component_id"] == 0 for i in range(3000))
+
+
 # pipeline
 
 
+CLASHES = ("score", "spans", "n_words", "component_id", "__row", "size", "at", "n_hit", "part", "h", "l")
+
+
+def stage_input(spark):
+    """documents with null, repeated, empty and long rows, ties, and columns of clashing names."""
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 40), ("en", "fr", None)[i % 3], ("a", "b", None)[i % 3], 7) for i in range(12)]
+    rows += [(3, rows[3][1], "en", "a", 7), (3, rows[4][1], "fr", "b", 7), (None, rows[5][1], None, None, None), (None, None, None, None, None), (20, "", "en", "a", 0), (21, "123 !!", "en", "a", 7), (22, "z" * 100_000, "en", "a", 7)]
+    d = spark.createDataFrame(rows, DOCS)
+    for c in CLASHES:
+        d = d.withColumn(c, F.lit("clash"))
+    return d
+
+
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    bench = [(1, " ".join(f"w{i}" for i in range(20))), (2, None), (None, "")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = stage_input(spark)
+    known = sorted(map(str, d.select(*corpus_pipeline.COLUMNS).collect()))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got, none = stage(spark, d, str(tmp_path)), stage(spark, d.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert tuple(got.columns) == tuple(none.columns) == corpus_pipeline.COLUMNS, name
+        else:
+            assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == len(known)
+            continue
+        rows = got.collect()
+        if k == 0:  # null, empty and letterless texts go; lang is filled in
+            assert len(rows) == len(known) - 3 and all(r["lang"] for r in rows)
+        if k == 1:  # one row of each text
+            assert sorted(str(r["text"]) for r in rows if r["text"]) == sorted({str(r["text"]) for r in d.collect() if r["text"]}) and len(rows) == len({(r["text"] or "") for r in d.collect()})
+        if k == 2:  # all are clean
+            assert sorted(map(str, rows)) == known
+        if k == 3:  # no text is invented
+            assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in d.collect()}
+
+
+def test_language_stage_without_labels_keeps_documents(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words", None, "a"), (2, "123 !!", None, "a"), (3, None, None, "a"), (4, "\u0436", None, None)]
+    got = corpus_pipeline.identify_language(spark, docs(spark, rows).withColumn("n_chars", F.length("text").cast("long")), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 4]
+
+
+def test_decontamination_stage_drops_copies_of_items(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"x {item} y", "en", "a"), (2, "clean " * 30, "en", "a"), (None, item, None, None)]
+    assert [r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs(spark, rows), str(tmp_path)).collect()] == [2]
+
+
 def test_near_duplicate_stage_keeps_unlike_rows(spark):
     import corpus_pipeline
 
