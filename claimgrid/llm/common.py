@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
 #: Characters between words, as ASCII white space; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,6 +48,21 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def release_memory() -> None:
+    """Gives memory that this process no longer uses back to the system, so that idle Python workers do not hold it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc only
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches of a task; afterwards the worker's unused memory goes back."""
+    try:
+        yield from batches
+    finally:
+        release_memory()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

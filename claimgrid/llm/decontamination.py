@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, table, trimmed
 
 WINDOW = 13
 NODE_BYTES, AUTOMATON_BYTES = 500, 256 << 20
@@ -106,7 +106,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         own = [(r["item_id"], r["text"]) for r in block.toLocalIterator()]
         sent = docs.sparkSession.sparkContext.broadcast((patterns(own, window), [None if i is None else str(i) for i, _ in own]))
-        parts.append(rows.mapInArrow(lambda it, sent=sent, token=uuid.uuid4().hex: _scan_batches(it, sent, token, held), _schema(rows, held)))
+        parts.append(rows.mapInArrow(lambda it, sent=sent, token=uuid.uuid4().hex: trimmed(_scan_batches(it, sent, token, held)), _schema(rows, held)))
     if blocks == 1:
         return parts[0]
     out = parts[0]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_mod, table
+from .common import checkpoint, crc_mod, table, trimmed
 
 DIM_BITS, LEAST_BITS = 16, 10
 NGRAMS = 3
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                             lang[i], score[i] = m.languages[best[i]], p[i, best[i]]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*(c for c in keep if c != "text"), "text").mapInArrow(batches, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+    return docs.select(*(c for c in keep if c != "text"), "text").mapInArrow(lambda it: trimmed(batches(it)), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

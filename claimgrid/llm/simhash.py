@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, table, written
+from .common import checkpoint, connected_components, table, trimmed, written
 
 RADIUS = 3
 BITS = 64
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: trimmed(batches(it)), "doc_id long, fp long")
 
 
 def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -240,7 +240,7 @@ def links(fps: DataFrame, n: int) -> DataFrame:
                             yield pd.DataFrame({"part": np.int32(i), "value": (value[own][:, None] ^ masks[None, :]).ravel(), "fp": np.repeat(fp[own], len(masks))})
 
     schema = "part int, value long, fp long"
-    left, right = fps.mapInPandas(entries, schema), fps.mapInPandas(probes, schema)
+    left, right = (fps.mapInPandas(lambda it, fn=fn: trimmed(fn(it)), schema) for fn in (entries, probes))
     sizes = left.groupBy("part", "value").agg(F.count("*").alias("n_in"))
     hot_in = checkpoint(sizes.where(F.col("n_in") > PAIRS // 64))
     met = right.join(F.broadcast(hot_in.select("part", "value", "n_in")) if hot_in.count() <= 10_000 else hot_in, ["part", "value"]).groupBy("part", "value").agg(F.count("*").alias("n_probe"), F.max("n_in").alias("n_in"))

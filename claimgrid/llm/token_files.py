@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, table
+from .common import release_memory, shared_dir, table, trimmed
 
 END_ID = 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 ROW_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 #: Bytes of text that are encoded at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -176,13 +176,14 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
                 [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(start + places[:-1]), pa.array((n + 1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.view("<i4")))], names=["doc_id", "part", "local_start", "n_tokens", "ids"]
             )
             start += int(places[-1])
+            release_memory()
 
 
 def write(docs: DataFrame, at: str, tokenizer: str | None = None, end_id: int = END_ID, bloom_fpp: float = 0.01) -> str:
     """Writes ``docs(doc_id, text)`` to the folder ``at``, files and rows in ascending doc_id order."""
     path = tokenizer or default_tokenizer()
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(lambda it: encode_batches(it, path, end_id), SCHEMA)
+    rows = ordered.mapInArrow(lambda it: trimmed(encode_batches(it, path, end_id)), SCHEMA)
     rows.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(bloom_fpp)).option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_INDEX)).option("orc.stripe.size", str(STRIPE_BYTES)).orc(at)
     return at
 
@@ -201,7 +202,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def index(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files. The table of ranges has a row for each written partition; ids are read once."""
-    rows = files.select("doc_id", "part", "local_start", "ids").mapInArrow(_sums, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    rows = files.select("doc_id", "part", "local_start", "ids").mapInArrow(lambda it: trimmed(_sums(it)), "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     ends = files.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("n"))
     base = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
