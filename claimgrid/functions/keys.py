@@ -27,19 +27,25 @@ def mod_key(m: Column) -> Column:
 
 
 def state_key(agent: Column | None = None) -> Column:
-    """Modifications, mutations, activity, location and bound partners of an agents row."""
+    """Modifications, mutations, activity, location and bound partners of an agents row, or of the struct ``agent``."""
+    of = (lambda f: F.col(f)) if agent is None else (lambda f: agent[f])
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    mods = F.array_join(F.array_sort(empty(F.transform("mods", mod_key))), ";")
-    muts = F.array_join(F.array_sort(empty(F.transform("mutations", lambda m: F.concat_ws(",", F.coalesce(m["residue_from"], F.lit("~")), F.coalesce(m["position"], F.lit("~")), F.coalesce(m["residue_to"], F.lit("~")))))), ";")
-    bound = F.array_join(F.transform(F.array_sort(F.transform(F.coalesce("bound", F.array().cast("array<struct<name:string,db_refs:map<string,string>,is_bound:boolean>>")), lambda b: F.struct(b["name"].alias("n"), entity_key(b["name"], b["db_refs"]).alias("k"), b["is_bound"].alias("b")))), lambda b: F.concat_ws(",", b["k"], b["b"].cast("string"))), ";")
-    act = F.coalesce(F.concat_ws(",", F.col("activity.activity_type"), F.col("activity.is_active").cast("string")), F.lit(""))
-    return F.concat_ws("/", mods, muts, act, F.coalesce("location", F.lit("")), bound)
+    mods = F.array_join(F.array_sort(empty(F.transform(of("mods"), mod_key))), ";")
+    muts = F.array_join(F.array_sort(empty(F.transform(of("mutations"), lambda m: F.concat_ws(",", F.coalesce(m["residue_from"], F.lit("~")), F.coalesce(m["position"], F.lit("~")), F.coalesce(m["residue_to"], F.lit("~")))))), ";")
+    bound = F.array_join(F.transform(F.array_sort(F.transform(F.coalesce(of("bound"), F.array().cast("array<struct<name:string,db_refs:map<string,string>,is_bound:boolean>>")), lambda b: F.struct(b["name"].alias("n"), entity_key(b["name"], b["db_refs"]).alias("k"), b["is_bound"].alias("b")))), lambda b: F.concat_ws(",", b["k"], b["b"].cast("string"))), ";")
+    act = F.coalesce(F.concat_ws(",", of("activity")["activity_type"], of("activity")["is_active"].cast("string")), F.lit(""))
+    return F.concat_ws("/", mods, muts, act, F.coalesce(of("location"), F.lit("")), bound)
 
 
-def agent_key() -> Column:
-    """Entity and state of an agents row; the entity alone where the agent has no state."""
-    state = state_key()
-    return F.when(state == "////", entity_key(F.col("name"), F.col("db_refs"))).otherwise(F.concat(entity_key(F.col("name"), F.col("db_refs")), F.lit("{"), state, F.lit("}")))
+def agent_key(agent: Column | None = None) -> Column:
+    """Entity and state of an agents row (or of the struct ``agent``); the entity alone where the agent has no state."""
+    of = (lambda f: F.col(f)) if agent is None else (lambda f: agent[f])
+    entity = entity_key(of("name"), of("db_refs"))
+    plain = F.lit(True)
+    for f in ("mods", "mutations", "bound"):
+        plain = plain & (F.coalesce(F.size(of(f)), F.lit(-1)) <= 0)
+    plain = plain & of("activity")["activity_type"].isNull() & of("activity")["is_active"].isNull() & F.coalesce(of("location") == "", F.lit(True))
+    return F.when(plain, entity).otherwise(F.concat(entity, F.lit("{"), state_key(agent), F.lit("}")))
 
 
 def hash_of(key: Column, nibbles: int = 14) -> Column:
@@ -51,11 +57,17 @@ def hash_of(key: Column, nibbles: int = 14) -> Column:
 
 def statement_keys(c: Corpus) -> DataFrame:
     """Statements with mk (type, arguments in role order or sorted, site, activity) and mk_hash; repeated rows of an argument count once."""
+    if "args" in c.statements.columns:
+        own = F.array_sort(F.array_distinct(F.transform("args", lambda a: F.struct(a["idx"].alias("idx"), F.coalesce(agent_key(a), F.lit("~")).alias("k")))))
+        return _keyed(c.statements.withColumn("__args", own))
     args = c.agents.select("stmt_id", "idx", F.coalesce(agent_key(), F.lit("~")).alias("k")).groupBy("stmt_id").agg(F.array_sort(F.collect_set(F.struct("idx", "k"))).alias("__args"))
+    return _keyed(c.statements.join(args, "stmt_id", "left"))
+
+
+def _keyed(joined: DataFrame) -> DataFrame:
     flat = F.transform("__args", lambda a: a["k"])
     parts = F.when(F.col("stmt_type").isin(*SYMMETRIC), F.array_sort(flat)).otherwise(flat)
     tail = F.concat_ws("|", *(F.coalesce(F.col(x).cast("string"), F.lit("~")) for x in ("residue", "position", "activity", "is_active", "from_location", "to_location")))
-    joined = c.statements.join(args, "stmt_id", "left")
     return joined.withColumn("mk", F.concat_ws("|", "stmt_type", F.array_join(F.coalesce(parts, F.array().cast("array<string>")), "|"), tail)).withColumn("mk_hash", hash_of(F.col("mk"))).drop("__args")
 
 

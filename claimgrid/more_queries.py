@@ -22,6 +22,7 @@ REG = "stmt_type IN ('Activation', 'Inhibition')"
 
 def stated(spark, d) -> Corpus:
     c = corpus(spark, d)
+    c = c.with_(agents=c.agents, evidence=c.evidence)
     regs = c.statements.where("stmt_type in ('Activation', 'Inhibition')").select("stmt_id", F.lit(True).alias("reg"))
     kinase = F.struct(F.lit("kinase").alias("activity_type"), F.lit(True).alias("is_active")).cast(ACT)
     second = F.try_element_at("db_refs", F.lit("HGNC")).cast("long") % 2 == 0
@@ -161,10 +162,10 @@ def ontology_suffix(spark, d):
     return ontology.nodes_from_suffix(nodes.where("ns in ('UP', 'HGNC')"), "77").select(ontology.label(F.col("ns"), F.col("id")).alias("label"))
 
 
-@query("SELECT 'HGNC' AS ns, s_suppkey::VARCHAR AS id, CASE WHEN s_suppkey <= 10 THEN 'HGNC' END AS r_ns, CASE WHEN s_suppkey <= 10 THEN (s_suppkey + 1)::VARCHAR END AS r_id FROM supplier")
+@query("SELECT 'HGNC' AS ns, s_suppkey::VARCHAR AS id, CASE WHEN s_nationkey < 20 THEN 'HGNC' END AS r_ns, CASE WHEN s_nationkey < 20 THEN (s_suppkey + 1)::VARCHAR END AS r_id FROM supplier")
 def ontology_replacement(spark, d):
     s = table(spark, d, "supplier")
-    e = s.where("s_suppkey <= 10").select(F.lit("HGNC").alias("s_ns"), F.col("s_suppkey").cast("string").alias("s_id"), F.lit("HGNC").alias("t_ns"), (F.col("s_suppkey") + 1).cast("string").alias("t_id"), F.lit("replaced_by").alias("rel"))
+    e = s.where("s_nationkey < 20").select(F.lit("HGNC").alias("s_ns"), F.col("s_suppkey").cast("string").alias("s_id"), F.lit("HGNC").alias("t_ns"), (F.col("s_suppkey") + 1).cast("string").alias("t_id"), F.lit("replaced_by").alias("rel"))
     return ontology.replacement(s.select(F.lit("HGNC").alias("ns"), F.col("s_suppkey").cast("string").alias("id")), e)
 
 
@@ -181,13 +182,14 @@ def evidence_limit(spark, d):
     return presentation.first_evidence(dedup(spark, d), 2).groupBy("stmt_id").agg(F.count("*").alias("n"))
 
 
-@query(DEDUP + "SELECT stmt_type AS inferred, round(ln(product(belief)) / count(*), 6) AS mean_log FROM d JOIN bel USING (mk_hash) WHERE stmt_id % 5000 = 1 AND belief > 0 GROUP BY stmt_type")
+@query(DEDUP + "SELECT stmt_type AS inferred, round(sum(ln(belief)) / count(*), 6) AS mean_log FROM d JOIN bel USING (mk_hash) WHERE belief > 0 GROUP BY stmt_type")
 def linked_belief(spark, d):
+    """Every distinct assertion with a belief is a source of one inferred by its type."""
     c = belief.set_prior_probs(dedup(spark, d))
-    few = c.statements.where("stmt_id % 5000 = 1 and belief > 0")
-    out = belief.linked_probs(few.select(F.col("stmt_type").alias("inferred"), F.col("stmt_id").alias("source")), few.select("stmt_id", "belief"))
-    n = few.groupBy(F.col("stmt_type").alias("inferred")).agg(F.count("*").alias("n"))
-    return out.join(n, "inferred").select("inferred", F.round(F.ln("belief") / F.col("n"), 6).alias("mean_log"))
+    some = c.statements.where("belief > 0")
+    linked = some.select(F.col("stmt_type").alias("inferred"), F.col("stmt_id").alias("source"))
+    out = belief.linked_log_probs(linked, some.select("stmt_id", "belief")).join(linked.groupBy("inferred").agg(F.count("*").alias("n")), "inferred")
+    return out.select("inferred", F.round(F.col("log_belief") / F.col("n"), 6).alias("mean_log"))
 
 
 @query(DEDUP + "SELECT stmt_type, pn, count(*) AS n, round(product(belief), 9) AS belief FROM d JOIN bel USING (mk_hash) GROUP BY stmt_type, pn")
@@ -210,9 +212,9 @@ def hub_neighbours(spark, d):
     return network.classify_hub(edge_table(spark, d), "supp1")
 
 
-@query(EDGES + "SELECT DISTINCT a AS name, 'HGNC' AS ns, substr(a, 5) AS id FROM (SELECT a FROM e UNION ALL SELECT b FROM e) WHERE a LIKE 'supp%'")
+@query(EDGES + "SELECT DISTINCT a AS name, CASE WHEN a LIKE 'supp%' THEN 'HGNC' WHEN substr(a, 5)::BIGINT % 7 <> 0 THEN 'UP' END AS ns, CASE WHEN a LIKE 'supp%' OR substr(a, 5)::BIGINT % 7 <> 0 THEN substr(a, 5) END AS id FROM (SELECT a FROM e UNION ALL SELECT b FROM e)")
 def edge_nodes(spark, d):
-    return network.node_table(edge_table(spark, d)).where("name like 'supp%'")
+    return network.node_table(edge_table(spark, d))
 
 
 @query(GRAPH + ", s AS (SELECT DISTINCT u, v FROM g), b AS (SELECT start, [start] AS path FROM starts UNION ALL SELECT start, list_append(path, v) FROM b JOIN s ON path[-1] = u WHERE len(path) < 4 AND NOT list_contains(path, v)) SELECT start AS source, path[-1] AS target, min(len(path) - 1)::INT AS hops FROM b WHERE len(path) > 1 GROUP BY ALL")

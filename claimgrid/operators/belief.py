@@ -79,6 +79,11 @@ def linked_probs(linked: DataFrame, beliefs: DataFrame) -> DataFrame:
     return linked.join(beliefs.withColumnRenamed("stmt_id", "source"), "source").groupBy("inferred").agg(F.product("belief").alias("belief"))
 
 
+def linked_log_probs(linked: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """``linked(inferred, source)`` to (inferred, log_belief): the sum of the logarithms, which many sources do not drive to nought."""
+    return linked.join(beliefs.withColumnRenamed("stmt_id", "source"), "source").groupBy("inferred").agg(F.sum(F.log("belief")).alias("log_belief"))
+
+
 def sample_statements(c: Corpus, seed: int = 0) -> Corpus:
     """Each assertion with the probability of its belief; the lot is a hash of its id and the seed, so reruns agree."""
     lot = F.pmod(F.xxhash64("stmt_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)

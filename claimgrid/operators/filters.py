@@ -103,10 +103,19 @@ def filter_by_db_refs(c: Corpus, namespace: str, values: list[str], policy: str,
     return _semi(c, _agents_hold(c, ref.isNotNull() & (~hit if invert else hit), "one" if policy in ("one", "any") else "all"))
 
 
-def filter_human_only(c: Corpus, organisms: DataFrame) -> Corpus:
-    """``organisms(id, is_human)`` of UP ids; an argument without a UP id passes, as does an unknown id of none."""
-    other = organisms.where("not is_human").select(F.col("id").alias("__up"))
-    bad = c.agents.join(other, F.try_element_at("db_refs", F.lit("UP")) == F.col("__up"), "left_semi").select("stmt_id")
+def filter_human_only(c: Corpus, organisms: DataFrame, remove_bound: bool = False) -> Corpus:
+    """``organisms(id, is_human)`` of UP ids: an argument without a UP id passes, one with an id that is not known to be human does not. Bound partners count alike, or are removed with ``remove_bound``."""
+    human = organisms.where("is_human").select(F.col("id").alias("up"), F.lit(True).alias("__h")).distinct()
+    up = lambda refs: F.try_element_at(refs, F.lit("UP"))
+    if remove_bound:
+        rows = c.agents.select("stmt_id", "idx", F.posexplode("bound").alias("at", "b")).withColumn("up", up(F.col("b.db_refs")))
+        gone = rows.where("up is not null").join(human, "up", "left_anti").groupBy("stmt_id", "idx").agg(F.collect_set("at").alias("__gone"))
+        kept = F.filter("bound", lambda b, i: ~F.array_contains("__gone", i))
+        c = c.with_(agents=c.agents.join(gone, ["stmt_id", "idx"], "left").withColumn("bound", F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("bound"))).select(*c.agents.columns))
+    every = c.agents.select("stmt_id", up(F.col("db_refs")).alias("up"))
+    if not remove_bound:
+        every = every.union(c.agents.select("stmt_id", F.explode("bound").alias("b")).select("stmt_id", up(F.col("b.db_refs"))))
+    bad = every.where("up is not null").join(human, "up", "left_anti").select("stmt_id")
     return _semi(c, bad, invert=True)
 
 
@@ -241,7 +250,7 @@ def filter_by_curation(c: Corpus, hashes: DataFrame, curations: DataFrame, incor
     by = curations.groupBy("pa_hash").agg(F.bool_or(F.col("tag").isin(*correct_tags)).alias("right"), F.bool_or(~F.col("tag").isin(*correct_tags)).alias("wrong"))
     st = c.statements.join(hashes, "stmt_id").join(by, F.col("mk_hash") == F.col("pa_hash"), "left")
     tagged = curations.where(~F.col("tag").isin(*correct_tags)).select("pa_hash", F.col("source_hash").alias("sh")).distinct()
-    ev = c.evidence.join(hashes, "stmt_id").join(tagged, (F.col("mk_hash") == F.col("pa_hash")) & (F.col("source_hash") == F.col("sh")), "left_anti").select(*c.evidence.columns)
+    ev = c.evidence.drop("mk_hash").join(hashes, "stmt_id").join(tagged, (F.col("mk_hash") == F.col("pa_hash")) & (F.col("source_hash") == F.col("sh")), "left_anti").select(*c.evidence.columns)
     right, wrong = F.coalesce("right", F.lit(False)), F.coalesce("wrong", F.lit(False))
     if incorrect_policy == "any":
         st = st.where(right | ~wrong)

@@ -11,6 +11,10 @@ from ..schema import ADDING, REMOVING, Corpus, descendants
 
 def wide(c: Corpus) -> DataFrame:
     """(stmt_id, stmt_type, site, a0_*, a1_*): assertions of two arguments on a row."""
+    if "args" in c.statements.columns:
+        at = lambda i: F.try_element_at(F.filter("args", lambda a: a["idx"] == i), F.lit(1))
+        side = lambda i: [at(i)["name"].alias(f"a{i}_name"), entity_key(at(i)["name"], at(i)["db_refs"]).alias(f"a{i}_k"), at(i)["mods"].alias(f"a{i}_mods"), at(i)["activity"].alias(f"a{i}_activity")]
+        return c.statements.select("*", *side(0), *side(1)).drop("args", "ev").withColumnRenamed("activity", "stmt_activity")
     a = c.agents.withColumn("k", entity_key(F.col("name"), F.col("db_refs"))).select("stmt_id", "idx", "name", "k", "mods", "activity")
     one = lambda i: a.where(F.col("idx") == i).select("stmt_id", *(F.col(x).alias(f"a{i}_{x}") for x in ("name", "k", "mods", "activity")))
     return c.statements.join(one(0), "stmt_id", "left").join(one(1), "stmt_id", "left").withColumnRenamed("activity", "stmt_activity")

@@ -23,13 +23,18 @@ def edges(c: Corpus, exclude: tuple[str, ...] = (), complex_members: int = 3, ke
     Two arguments give an edge from the first to the second; a complex of up to ``complex_members`` members one for each ordered pair; assertions with fewer than
     two arguments give none. The pairs come from one array for each assertion, not from a self-join.
     """
-    agent = F.struct("idx", "name", F.split(grounding(F.col("db_refs")), ":", 2)[0].alias("ns"), F.split(grounding(F.col("db_refs")), ":", 2)[1].alias("id"))
-    args = c.agents.where("name is not null").groupBy("stmt_id").agg(F.array_sort(F.collect_list(agent)).alias("args"))
+    ref = lambda refs: F.split(grounding(refs), ":", 2)
     counts = c.evidence.groupBy("stmt_id", "source_api").agg(F.count("*").alias("n")).groupBy("stmt_id").agg(F.sum("n").alias("evidence_count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_api", "n")))).alias("source_counts"))
     st = c.statements if "mk_hash" in c.statements.columns else c.statements.join(statement_keys(c).select("stmt_id", "mk_hash"), "stmt_id")
     drop = [t for e in exclude for t in descendants(e)]
     st = st.where(~F.col("stmt_type").isin(*drop)) if drop else st
-    both = st.join(args, "stmt_id").join(counts, "stmt_id", "left").where(F.size("args") >= 2)
+    if "args" in st.columns:
+        own = F.filter("args", lambda a: a["name"].isNotNull())
+        with_args = st.withColumn("args", F.array_sort(F.transform(own, lambda a: F.struct(a["idx"].alias("idx"), a["name"].alias("name"), ref(a["db_refs"])[0].alias("ns"), ref(a["db_refs"])[1].alias("id")))))
+    else:
+        agent = F.struct("idx", "name", ref(F.col("db_refs"))[0].alias("ns"), ref(F.col("db_refs"))[1].alias("id"))
+        with_args = st.join(c.agents.where("name is not null").groupBy("stmt_id").agg(F.array_sort(F.collect_list(agent)).alias("args")), "stmt_id")
+    both = with_args.where(F.size("args") >= 2).join(counts, "stmt_id", "left")
     sym = F.col("stmt_type").isin(*SYMMETRIC)
     pair = lambda i, j: F.struct(i.alias("a"), j.alias("b"))
     every = F.flatten(F.transform("args", lambda x: F.transform(F.filter("args", lambda y: y["idx"] != x["idx"]), lambda y: pair(x, y))))

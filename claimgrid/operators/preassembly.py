@@ -1,39 +1,54 @@
 """Duplicates, refinements and contradictions.
 
 Duplicates are one hash aggregation. Refinement candidates come from an equi-join on (type, role, key), where a more specific
-argument reaches its own key, those of its ancestors, and the key of an absent argument; the few pairs that agree in every role are then
-checked for site and state. No pair of assertions is formed that does not share such a key.
+argument reaches its own key, those of its ancestors, and the key of an absent argument; the few pairs that this proposes are then
+checked in the row for all arguments, site and state. No pair of assertions is formed that does not share such a key.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import entity_key, evidence_key, statement_keys
 from ..runtime import checkpoint
-from ..schema import OPPOSITES, SYMMETRIC, Corpus
+from ..schema import OPPOSITES, SYMMETRIC, Corpus, exploded
 
 ABSENT = "~"
 
 
 def combine_duplicates(c: Corpus) -> Corpus:
-    """One assertion for each key, its stmt_id the least of the group; evidence is united and equal evidence kept once.
+    """One assertion for each key, its stmt_id the least of the group; evidence is united and equal evidence kept once. Evidence bears the key's mk_hash.
 
-    Rows that repeat a stmt_id count once: the joins have dealt them by stmt_id already, so that needs no further shuffle.
+    Rows that repeat a stmt_id count once. With arguments on the row the heads are one aggregation by key, combined before the shuffle, as is
+    the removal of equal evidence; only distinct evidence meets its head, so a very common assertion is no hot key.
     """
+    if "args" in c.statements.columns:
+        whole = statement_keys(c).drop("mk")
+        cols = [x for x in whole.columns if x not in ("ev", "mk_hash")]
+        heads = whole.groupBy("mk_hash").agg(F.min_by(F.struct(*cols), "stmt_id").alias("__x")).select("mk_hash", "__x.*")
+        own = whole.select("mk_hash", F.explode("ev").alias("__x")).select("mk_hash", "__x.*") if "ev" in whole.columns else c.evidence.join(whole.select("stmt_id", "mk_hash"), "stmt_id").drop("stmt_id")
+        distinct = own.withColumn("__ek", evidence_key()).dropDuplicates(["mk_hash", "__ek"]).drop("__ek")
+        to = whole.groupBy("mk_hash").agg(F.min("stmt_id").alias("stmt_id"))
+        evidence = distinct.join(to, "mk_hash")
+        return replace(c, statements=heads.select(*cols, "mk_hash"), agents=exploded(heads, "args"), evidence=evidence.select("stmt_id", *own.columns[1:], "mk_hash"))
     keyed = statement_keys(c).select("stmt_id", "mk_hash")
     to = keyed.groupBy("mk_hash").agg(F.min("stmt_id").alias("__to"))
     ids = keyed.join(to, "mk_hash").select("stmt_id", "__to", "mk_hash")
     heads = to.select(F.col("__to").alias("stmt_id"), "mk_hash")
     statements = c.statements.join(heads, "stmt_id").dropDuplicates(["stmt_id"])
     agents = c.agents.join(heads.select("stmt_id"), "stmt_id", "left_semi").dropDuplicates(["stmt_id", "idx"])
-    evidence = c.evidence.join(ids, "stmt_id").withColumn("stmt_id", F.col("__to")).withColumn("__ek", evidence_key()).dropDuplicates(["stmt_id", "__ek"]).drop("__to", "__ek", "mk_hash")
-    return c.with_(statements=statements, agents=agents, evidence=evidence)
+    evidence = c.evidence.join(ids, "stmt_id").withColumn("stmt_id", F.col("__to")).withColumn("__ek", evidence_key()).dropDuplicates(["stmt_id", "__ek"]).drop("__to", "__ek")
+    return replace(c, statements=statements.drop("ev"), agents=agents, evidence=evidence)
 
 
 def entity_groups(c: Corpus) -> DataFrame:
     """(stmt_id, stmt_type, agents): the keys of the arguments in order, absent ones as ``~``."""
+    if "args" in c.statements.columns:
+        own = F.array_sort(F.transform("args", lambda a: F.struct(a["idx"].alias("idx"), F.coalesce(entity_key(a["name"], a["db_refs"]), F.lit(ABSENT)).alias("k"))))
+        return c.statements.withColumn("keys", F.transform(own, lambda a: a["k"]))
     keys = c.agents.select("stmt_id", "idx", F.coalesce(entity_key(F.col("name"), F.col("db_refs")), F.lit(ABSENT)).alias("k"))
     args = keys.groupBy("stmt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "k"))), lambda a: a["k"]).alias("keys"))
     return c.statements.join(args, "stmt_id")
@@ -49,52 +64,63 @@ def _site_refines() -> Column:
     return one("residue") & one("position") & one("from_location") & one("to_location") & F.col("g_is_active").eqNullSafe(F.col("is_active")) & (F.col("g_activity").isNull() | F.col("g_activity").eqNullSafe(F.col("activity")) | (F.col("g_activity") == "activity"))
 
 
-def _state_refines() -> Column:
-    """Every state of the general argument is one of the specific one's."""
-    covered = lambda col, test: F.coalesce(F.forall(F.col(f"g_{col}"), lambda g: F.exists(F.coalesce(F.col(f"s_{col}"), F.expr(f"filter(g_{col}, x -> false)")), lambda s: test(s, g))), F.lit(True))
-    mods = covered("mods", lambda s, g: (s["mod_type"].eqNullSafe(g["mod_type"]) | (g["mod_type"] == "modification")) & s["is_modified"].eqNullSafe(g["is_modified"]) & (g["residue"].isNull() | g["residue"].eqNullSafe(s["residue"])) & (g["position"].isNull() | g["position"].eqNullSafe(s["position"])))
-    muts = covered("mutations", lambda s, g: (g["residue_from"].isNull() | g["residue_from"].eqNullSafe(s["residue_from"])) & (g["position"].isNull() | g["position"].eqNullSafe(s["position"])) & (g["residue_to"].isNull() | g["residue_to"].eqNullSafe(s["residue_to"])))
-    bound = covered("bound", lambda s, g: s["is_bound"].eqNullSafe(g["is_bound"]) & entity_key(s["name"], s["db_refs"]).eqNullSafe(entity_key(g["name"], g["db_refs"])))
-    act = F.col("g_act").isNull() | (F.col("g_act.is_active").eqNullSafe(F.col("s_act.is_active")) & (F.col("g_act.activity_type").eqNullSafe(F.col("s_act.activity_type")) | (F.col("g_act.activity_type") == "activity")))
-    return mods & muts & bound & act & (F.col("g_location").isNull() | F.col("g_location").eqNullSafe(F.col("s_location")))
+def state_refines(s: Column, g: Column) -> Column:
+    """Every state of the general argument ``g`` is one of the specific one's, ``s`` (structs of an agent's columns)."""
+    covered = lambda col, test: F.coalesce(F.forall(g[col], lambda y: F.coalesce(F.exists(s[col], lambda x: test(x, y)), F.lit(False))), F.lit(True))
+    wide = lambda x, y: y.isNull() | y.eqNullSafe(x)
+    mods = covered("mods", lambda x, y: (x["mod_type"].eqNullSafe(y["mod_type"]) | (y["mod_type"] == "modification")) & x["is_modified"].eqNullSafe(y["is_modified"]) & wide(x["residue"], y["residue"]) & wide(x["position"], y["position"]))
+    muts = covered("mutations", lambda x, y: wide(x["residue_from"], y["residue_from"]) & wide(x["position"], y["position"]) & wide(x["residue_to"], y["residue_to"]))
+    bound = covered("bound", lambda x, y: x["is_bound"].eqNullSafe(y["is_bound"]) & entity_key(x["name"], x["db_refs"]).eqNullSafe(entity_key(y["name"], y["db_refs"])))
+    own, other = s["activity"], g["activity"]
+    act = other["activity_type"].isNull() & other["is_active"].isNull() | (other["is_active"].eqNullSafe(own["is_active"]) & (other["activity_type"].eqNullSafe(own["activity_type"]) | (other["activity_type"] == "activity")))
+    return mods & muts & bound & act & wide(s["location"], g["location"])
+
+
+def matches_all(s: Column, g: Column, fits) -> Column:
+    """Whether the members of ``s`` can be dealt to those of ``g``, as many, one each, so that ``fits(s, g)`` holds.
+
+    The sets of members of ``s`` that some dealing of the first members of ``g`` takes are folded as bit masks; sets that members leave equal are held once.
+    """
+    bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j.cast("int"))
+    numbered = F.transform(s, lambda x, j: F.struct(x.alias("x"), bit(j).alias("bit")))
+    free = lambda mask, y: F.filter(numbered, lambda m: (mask.bitwiseAND(m["bit"]) == 0) & fits(m["x"], y))
+    step = lambda masks, y: F.array_distinct(F.flatten(F.transform(masks, lambda mask: F.transform(free(mask, y), lambda m: mask.bitwiseOR(m["bit"])))))
+    return (F.size(s) == F.size(g)) & (F.size(F.aggregate(g, F.array(F.lit(0).cast("long")), step)) > 0)
 
 
-def refinements(c: Corpus, closed: DataFrame, with_state: bool = True, split: DataFrame | None = None) -> DataFrame:
-    """(refiner, refined): pairs of assertions of a type where each argument of the first is that of the second, below it, or where the second has none.
+def refinements(c: Corpus, closed: DataFrame, with_state: bool = True, split: DataFrame | None = None, also=None) -> DataFrame:
+    """(refiner, refined): pairs of assertions of a type where each argument of the first is that of the second, below it, or where the second has none, and has all its states.
 
-    Symmetric types need as many members and a member above each (a matching for up to three members is exact here). ``split(stmt_id, side)`` keeps pairs across sides only.
+    The members of symmetric types may be in any order: as many on both sides, and a one-to-one match between them. ``split(stmt_id, side)`` keeps pairs
+    across sides only; ``also(pairs)`` is a filter of the caller's over (refiner, refined). A pair is proposed by an equi-join on the general
+    assertion's rarest argument; the rest is told in the row from both sides' arguments, without another join by key.
     """
     # both tables are used several times: without this the corpus would be worked out for each use
-    c = c.with_(statements=checkpoint(c.statements), agents=checkpoint(c.agents))
-    state = ["stmt_id", "idx", F.col("mods"), F.col("mutations"), F.col("bound"), F.col("activity").alias("act"), "location"]
-    keys = c.agents.select("stmt_id", "idx", F.coalesce(entity_key(F.col("name"), F.col("db_refs")), F.lit(ABSENT)).alias("k"))
-    typed = c.statements.select("stmt_id", "stmt_type", F.col("stmt_type").isin(*SYMMETRIC).alias("sym"))
-    size = keys.groupBy("stmt_id").agg(F.count("*").alias("n"))
-    rows = keys.join(typed, "stmt_id").join(size, "stmt_id").withColumn("role", F.when(F.col("sym"), -1).otherwise(F.col("idx"))).select("stmt_id", "stmt_type", "n", "role", "idx", "k")
-    rows = checkpoint(rows)
+    c = replace(c, statements=checkpoint(c.statements), agents=checkpoint(c.agents))
+    own = c.agents.dropDuplicates(["stmt_id", "idx"]).select("stmt_id", "idx", F.coalesce(entity_key(F.col("name"), F.col("db_refs")), F.lit(ABSENT)).alias("k"), "mods", "mutations", "bound", "activity", "location")
+    groups = own.groupBy("stmt_id").agg(F.array_sort(F.collect_list(F.struct("idx", "k", "mods", "mutations", "bound", "activity", "location")), lambda x, y: F.when(x["idx"] < y["idx"], -1).when(x["idx"] > y["idx"], 1).otherwise(0)).alias("members"))
+    site = ["residue", "position", "activity", "is_active", "from_location", "to_location"]
+    groups = checkpoint(groups.join(c.statements.select("stmt_id", "stmt_type", *site), "stmt_id").withColumn("sym", F.col("stmt_type").isin(*SYMMETRIC)))
+    rows = groups.select("stmt_id", "stmt_type", F.size("members").alias("n"), "sym", F.explode("members").alias("m")).select("stmt_id", "stmt_type", "n", F.when(F.col("sym"), -1).otherwise(F.col("m.idx")).alias("role"), F.col("m.idx").alias("idx"), F.col("m.k").alias("k"))
     up = reach(closed)
-    mine = rows.withColumn("target", F.col("k")).union(rows.join(up, "k").select("stmt_id", "stmt_type", "n", "role", "idx", "k", F.col("up").alias("target"))).union(rows.where(F.col("k") != ABSENT).withColumn("target", F.lit(ABSENT)))
+    higher = rows.select("k").distinct().join(up, "k").groupBy("k").agg(F.collect_set("up").alias("ups"))
+    mine = rows.withColumn("target", F.col("k")).union(rows.join(up, "k").select(*rows.columns, F.col("up").alias("target"))).union(rows.where(F.col("k") != ABSENT).withColumn("target", F.lit(ABSENT)))
     general = rows.select(F.col("stmt_id").alias("refined"), "stmt_type", "n", "role", F.col("idx").alias("g_idx"), F.col("k").alias("target"))
-    # the rarest argument of a general assertion proposes; the others confirm
+    # the rarest argument of a general assertion proposes
     freq = rows.groupBy("stmt_type", "role", F.col("k").alias("target")).agg(F.count("*").alias("f"))
-    lead = general.join(freq, ["stmt_type", "role", "target"]).groupBy("refined").agg(F.min(F.struct(F.when(F.col("target") == ABSENT, 1).otherwise(0).alias("abs"), "f", "g_idx")).alias("l")).select("refined", F.col("l.g_idx").alias("g_idx"))
-    proposed = general.join(lead, ["refined", "g_idx"]).join(mine, ["stmt_type", "n", "role", "target"]).where("stmt_id <> refined").select(F.col("stmt_id").alias("refiner"), "refined").distinct()
-    proposed = checkpoint(proposed)
-    need = general.select("refined", "role", "g_idx", "target", "n")
-    met = proposed.join(need, "refined").join(mine.select(F.col("stmt_id").alias("refiner"), "role", "idx", "target"), ["refiner", "role", "target"])
-    enough = met.groupBy("refiner", "refined").agg(F.countDistinct("g_idx").alias("a"), F.countDistinct("idx").alias("b"), F.max("n").alias("n")).where("a = n and b = n").select("refiner", "refined")
-    site = ["stmt_id", "residue", "position", "activity", "is_active", "from_location", "to_location"]
-    low = c.statements.select(F.col("stmt_id").alias("refiner"), *site[1:])
-    high = c.statements.select(F.col("stmt_id").alias("refined"), *(F.col(x).alias(f"g_{x}") for x in site[1:]))
-    out = enough.join(low, "refiner").join(high, "refined").where(_site_refines()).select("refiner", "refined")
-    if with_state:
-        s = c.agents.select(*state)
-        a = s.select(F.col("stmt_id").alias("refiner"), "idx", *(F.col(x).alias(f"s_{x}") for x in ("mods", "mutations", "bound", "act", "location")))
-        g = s.select(F.col("stmt_id").alias("refined"), "idx", *(F.col(x).alias(f"g_{x}") for x in ("mods", "mutations", "bound", "act", "location")))
-        bad = out.join(a, "refiner").join(g, ["refined", "idx"]).where(~_state_refines()).select("refiner", "refined").distinct()
-        out = out.join(bad, ["refiner", "refined"], "left_anti")
+    lead = general.join(freq, ["stmt_type", "role", "target"]).groupBy("refined").agg(F.min(F.struct(F.when(F.col("target") == ABSENT, 1).otherwise(0).alias("abs"), "f", "g_idx", "stmt_type", "n", "role", "target")).alias("l")).select("refined", "l.stmt_type", "l.n", "l.role", "l.target")
+    proposed = lead.join(mine, ["stmt_type", "n", "role", "target"]).where("stmt_id <> refined").select(F.col("stmt_id").alias("refiner"), "refined").distinct()
+    # the arguments with all that is above them
+    flat = groups.select("stmt_id", F.explode("members").alias("m")).join(higher, F.col("m.k") == F.col("k"), "left")
+    above = flat.groupBy("stmt_id").agg(F.map_from_entries(F.collect_set(F.struct(F.col("m.k").alias("k"), F.concat(F.array("m.k", F.lit(ABSENT)), F.coalesce("ups", F.array().cast("array<string>"))).alias("ups")))).alias("ups"))
+    low = groups.join(above, "stmt_id").select(F.col("stmt_id").alias("refiner"), F.col("members").alias("s_members"), "ups", *site)
+    high = groups.select(F.col("stmt_id").alias("refined"), F.col("members").alias("g_members"), "sym", *(F.col(x).alias(f"g_{x}") for x in site))
+    fits = lambda s, g: F.array_contains(F.element_at("ups", s["k"]), g["k"]) & (state_refines(s, g) if with_state else F.lit(True))
+    in_order = (F.size("s_members") == F.size("g_members")) & F.forall(F.zip_with("s_members", "g_members", lambda s, g: (s["idx"] == g["idx"]) & fits(s, g)), lambda x: F.coalesce(x, F.lit(False)))
+    out = proposed.join(low, "refiner").join(high, "refined").where(_site_refines() & F.when(F.col("sym"), matches_all(F.col("s_members"), F.col("g_members"), fits)).otherwise(in_order)).select("refiner", "refined")
     if split is not None:
         out = out.join(split.select(F.col("stmt_id").alias("refiner"), F.col("side").alias("x")), "refiner").join(split.select(F.col("stmt_id").alias("refined"), F.col("side").alias("y")), "refined").where("x <> y").select("refiner", "refined")
+    out = checkpoint(out if also is None else also(out).select("refiner", "refined"))
     # of assertions that refine each other (equal ones) neither does
     back = out.select(F.col("refiner").alias("refined"), F.col("refined").alias("refiner"))
     return out.join(back, ["refiner", "refined"], "left_anti")
@@ -146,11 +172,20 @@ def find_contradicts(c: Corpus, closed: DataFrame) -> DataFrame:
     a = plus.select(F.col("stmt_id").alias("a"), F.col("opp").alias("stmt_type"), F.col("keys")[0].alias("a0"), F.col("keys")[1].alias("a1"), F.col("residue").alias("ra"), F.col("position").alias("pa")).where(f"a0 <> '{ABSENT}' and a1 <> '{ABSENT}'")
     b = g.where(F.size("keys") == 2).select(F.col("stmt_id").alias("b"), "stmt_type", F.col("keys")[0].alias("b0"), F.col("keys")[1].alias("b1"), F.col("residue").alias("rb"), F.col("position").alias("pb")).where(F.col("stmt_type").isin(*OPPOSITES.values()))
     up = reach(closed)
-    near = up.select(F.col("k").alias("x"), F.col("up").alias("y")).union(up.select(F.col("up").alias("x"), F.col("k").alias("y")))
-    around = lambda df, col: df.withColumn("t", F.col(col)).union(df.join(near, F.col(col) == F.col("x")).select(*df.columns, F.col("y").alias("t")))
-    first = around(a, "a0").withColumnRenamed("t", "t0")
-    both = around(first, "a1").withColumnRenamed("t", "t1")
-    hit = both.join(b, (both["stmt_type"] == b["stmt_type"]) & (F.col("t0") == F.col("b0")) & (F.col("t1") == F.col("b1"))).where(F.col("ra").eqNullSafe(F.col("rb")) & F.col("pa").eqNullSafe(F.col("pb"))).select("a", "b")
+    near = checkpoint(up.select(F.col("k").alias("x"), F.col("up").alias("y")).union(up.select(F.col("up").alias("x"), F.col("k").alias("y"))))
+    one_site = F.col("ra").eqNullSafe(F.col("rb")) & F.col("pa").eqNullSafe(F.col("pb"))
+    # each positive assertion is led by its rarer argument, which alone is spread over the ontology; the other is then told for the pairs that met
+    n_first, n_second = (b.groupBy("stmt_type", F.col(f"b{i}").alias(f"a{i}")).agg(F.count("*").alias(f"n{i}")) for i in (0, 1))
+    told = checkpoint(a.join(n_first, ["stmt_type", "a0"], "left").join(n_second, ["stmt_type", "a1"], "left").withColumn("by", F.when(F.coalesce("n0", F.lit(0)) <= F.coalesce("n1", F.lit(0)), 0).otherwise(1)).drop("n0", "n1"))
+    met = None
+    for i in (0, 1):
+        mine = told.where(F.col("by") == i)
+        spread = mine.withColumn("t", F.col(f"a{i}")).union(mine.join(near, F.col(f"a{i}") == F.col("x")).select(*mine.columns, F.col("y").alias("t")))
+        found = spread.join(b.withColumnRenamed("stmt_type", "b_type"), (F.col("stmt_type") == F.col("b_type")) & (F.col("t") == F.col(f"b{i}"))).where(one_site).select("a", "b", F.col(f"a{1 - i}").alias("p"), F.col(f"b{1 - i}").alias("q"))
+        met = found if met is None else met.union(found)
+    same = met.where("p = q").select("a", "b")
+    related = met.where("p <> q").join(near, (F.col("p") == F.col("x")) & (F.col("q") == F.col("y"))).select("a", "b")
+    hit = same.union(related)
     forms = g.where("stmt_type = 'ActiveForm'").select("stmt_id", F.col("keys")[0].alias("k"), "activity", "is_active")
     f = forms.where("is_active").alias("f").join(forms.where("not is_active").alias("h"), (F.col("f.k") == F.col("h.k")) & F.col("f.activity").eqNullSafe(F.col("h.activity"))).select(F.col("f.stmt_id").alias("a"), F.col("h.stmt_id").alias("b"))
     return hit.union(f).distinct()

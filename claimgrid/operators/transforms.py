@@ -85,19 +85,21 @@ def standardize_names_groundings(c: Corpus, ns: str = "WM") -> Corpus:
 
 
 def expand_families(c: Corpus, closed: DataFrame, nodes: DataFrame) -> Corpus:
-    """A row of the corpus for each combination of members of its families (FPLX); families without members stay.
+    """A row of the corpus for each combination of members of its families (FPLX), of any number of arguments; families without members stay.
 
     stmt_ids become hashes of the old id and the members.
     """
     below = closed.where("p_ns = 'FPLX' and ns = 'HGNC'").join(nodes.select("ns", "id", F.col("name").alias("m_name")), ["ns", "id"]).select(F.col("p_id").alias("fam"), F.col("id").alias("m_id"), "m_name")
     a = c.agents.withColumn("fam", F.try_element_at("db_refs", F.lit("FPLX"))).join(below, "fam", "left")
     opts = a.withColumn("name", F.coalesce("m_name", "name")).withColumn("db_refs", F.when(F.col("m_id").isNotNull(), F.create_map(F.lit("HGNC"), F.col("m_id"))).otherwise(F.col("db_refs"))).select(*c.agents.columns)
-    two = opts.where("idx = 1").select("stmt_id", F.struct(*opts.columns[1:]).alias("b"))
-    one = opts.where("idx = 0").select("stmt_id", F.struct(*opts.columns[1:]).alias("a"))
-    rest = opts.where("idx > 1").groupBy("stmt_id").agg(F.collect_list(F.struct(*opts.columns[1:])).alias("r"))
-    combo = c.statements.select("stmt_id").join(one, "stmt_id", "left").join(two, "stmt_id", "left").join(rest, "stmt_id", "left")
-    combo = combo.withColumn("new", F.xxhash64("stmt_id", F.coalesce("a.name", F.lit("")), F.coalesce("b.name", F.lit(""))))
-    agents = combo.select(F.col("new").alias("stmt_id"), F.explode(F.filter(F.concat(F.array("a", "b"), F.coalesce("r", F.expr("filter(array(a), x -> false)"))), lambda x: x.isNotNull())).alias("x")).select("stmt_id", "x.*")
+    own = opts.columns[1:]
+    choices = opts.groupBy("stmt_id", "idx").agg(F.collect_list(F.struct(*own)).alias("o")).groupBy("stmt_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "o"))).alias("c"))
+    lists = F.transform(F.array_sort(F.map_keys("c")), lambda i: F.element_at("c", i))
+    product = lambda acc, o: F.flatten(F.transform(acc, lambda done: F.transform(o, lambda x: F.concat(done, F.array(x)))))
+    none = F.filter(F.element_at(F.map_values("c"), 1), lambda x: F.lit(False))
+    every = choices.select("stmt_id", F.explode(F.aggregate(lists, F.array(none), product)).alias("x"))
+    combo = c.statements.select("stmt_id").distinct().join(every, "stmt_id", "left").withColumn("new", F.xxhash64("stmt_id", F.transform("x", lambda m: F.struct(m["idx"].alias("i"), m["name"].alias("n")))))
+    agents = combo.select(F.col("new").alias("stmt_id"), F.explode("x").alias("x")).select("stmt_id", "x.*")
     ids = combo.select("stmt_id", "new")
     move = lambda df: df.join(ids, "stmt_id").withColumn("stmt_id", F.col("new")).drop("new")
     return c.with_(statements=move(c.statements), agents=agents.select(*c.agents.columns), evidence=move(c.evidence), refinements=None)

@@ -18,11 +18,15 @@ DATABASES = ("biopax", "bel", "signor", "biogrid", "ctd", "trrust", "tas", "dgi"
 
 def rows(c: Corpus) -> DataFrame:
     """A row for each assertion: mk_hash, sources, ev_count, papers and args(name, role, idx, db_refs)."""
-    args = c.agents.groupBy("stmt_id").agg(F.array_sort(F.collect_list(F.struct("idx", "role", "name", *(F.coalesce(F.try_element_at("db_refs", F.lit(n)), F.lit("")).alias(n) for n in (*NS_ORDER, "TEXT"))))).alias("args"))
+    whole = lambda of: F.struct(of("idx").alias("idx"), of("role").alias("role"), of("name").alias("name"), *(F.coalesce(F.try_element_at(of("db_refs"), F.lit(n)), F.lit("")).alias(n) for n in (*NS_ORDER, "TEXT")))
     ev = c.evidence.groupBy("stmt_id").agg(F.collect_set("source_api").alias("sources"), F.count("*").alias("ev_count"), F.collect_set("pmid").alias("papers"))
     none = F.array().cast("array<string>")
     st = c.statements if "mk_hash" in c.statements.columns else statement_keys(c)
-    return st.join(args, "stmt_id", "left").join(ev, "stmt_id", "left").withColumn("ev_count", F.coalesce("ev_count", F.lit(0))).withColumn("sources", F.coalesce("sources", none)).withColumn("papers", F.coalesce("papers", none))
+    if "args" in st.columns:
+        st = st.withColumn("args", F.array_sort(F.transform("args", lambda a: whole(lambda f: a[f]))))
+    else:
+        st = st.join(c.agents.groupBy("stmt_id").agg(F.array_sort(F.collect_list(whole(F.col))).alias("args")), "stmt_id", "left")
+    return st.join(ev, "stmt_id", "left").withColumn("ev_count", F.coalesce("ev_count", F.lit(0))).withColumn("sources", F.coalesce("sources", none)).withColumn("papers", F.coalesce("papers", none))
 
 
 class Query:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import ACT, BOUND, MOD, MUT, Corpus
+from ..schema import ACT, BOUND, MOD, MUT, Corpus, packed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     li = table(spark, sf_dir, "lineitem")
     sid = (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("stmt_id")
     site = (F.col("l_returnflag") == "N") & (F.col("l_partkey") % 4 == 0)
-    statements = li.select(
+    statements = (
         sid, F.expr(STMT_TYPE).alias("stmt_type"),
         F.when(site & (F.col("l_suppkey") % 2 == 0), "S").alias("residue"), F.when(site & (F.col("l_suppkey") % 4 == 0), (F.col("l_partkey") % 9).cast("string")).alias("position"),
         *(F.lit(None).cast(t).alias(n) for n, t in (("activity", "string"), ("is_active", "boolean"), ("from_location", "string"), ("to_location", "string"), ("belief", "double"))),
@@ -44,15 +44,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     subj = F.struct(F.lit("subj").alias("role"), F.lit(0).alias("idx"), F.concat(F.lit("supp"), key("l_suppkey")).alias("name"), F.create_map(F.lit("HGNC"), key("l_suppkey"), F.lit("TEXT"), F.concat(F.lit("s"), key("l_suppkey"))).alias("db_refs"))
     text = F.create_map(F.lit("TEXT"), F.concat(F.lit("p"), key("l_partkey")))
     obj = F.struct(F.lit("obj").alias("role"), F.lit(1).alias("idx"), F.concat(F.lit("part"), key("l_partkey")).alias("name"), F.when(F.col("l_partkey") % 7 == 0, text).otherwise(F.map_concat(text, F.create_map(F.lit("UP"), key("l_partkey")))).alias("db_refs"))
-    agents = li.select(sid, F.explode(F.array(subj, obj)).alias("a")).select(
-        "stmt_id", "a.*", *(F.lit(None).cast(t).alias(n) for n, t in (("mods", f"array<{MOD}>"), ("mutations", f"array<{MUT}>"), ("bound", f"array<{BOUND}>"), ("activity", ACT), ("location", "string")))
-    )
-    evidence = li.select(
-        sid, F.lit(0).alias("ord"), F.expr(SOURCE).alias("source_api"), key("l_orderkey").alias("source_id"), (F.col("l_orderkey") % 1000).cast("string").alias("pmid"), F.lit(None).cast("string").alias("text"),
-        F.lit(None).cast("map<string,string>").alias("text_refs"), F.lit(None).cast("string").alias("annotations"),
+    none = lambda *parts: [F.lit(None).cast(t).alias(n) for n, t in parts]
+    states = none(("mods", f"array<{MOD}>"), ("mutations", f"array<{MUT}>"), ("bound", f"array<{BOUND}>"), ("activity", ACT), ("location", "string"))
+    whole = lambda a: F.struct(*(a[f].alias(f) for f in ("role", "idx", "name", "db_refs")), *states)
+    evidence = F.struct(
+        F.lit(0).alias("ord"), F.expr(SOURCE).alias("source_api"), key("l_orderkey").alias("source_id"), (F.col("l_orderkey") % 1000).cast("string").alias("pmid"),
+        *none(("text", "string"), ("text_refs", "map<string,string>"), ("annotations", "string")),
         F.when(F.col("l_linestatus") == "O", True).when(F.col("l_linenumber") % 3 == 0, False).alias("direct"), (F.col("l_tax") > 0.07).alias("hypothesis"), (F.col("l_discount") > 0.08).alias("negated"),
     )
-    return Corpus(statements, agents, evidence)
+    return packed(li.select(*statements, F.array(whole(subj), whole(obj)).alias("args"), F.array(evidence).alias("ev")))
 
 
 def ontology(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -106,9 +106,12 @@ def filter_by_db_refs(spark, d):
     return ids(filters.filter_by_db_refs(corpus(spark, d), "HGNC", ["5", "7"], "any"))
 
 
-@query(IDS + "sn IN ('supp1') AND pn IN ('supp1') OR FALSE")
+@query(IDS + "sn IN ('supp1', 'part2', 'part3') AND pn IN ('supp1', 'part2', 'part3') OR sn = 'supp7' OR pn = 'supp7'")
 def filter_concept_names(spark, d):
-    return ids(filters.filter_concept_names(corpus(spark, d), ["supp1"], "all"))
+    c = corpus(spark, d)
+    every = filters.filter_concept_names(c, ["supp1", "part2", "part3"], "all")
+    one = filters.filter_concept_names(c, ["supp7"], "one")
+    return ids(every).union(ids(one)).distinct()
 
 
 @query(IDS + "stmt_type <> 'Complex'")
@@ -180,7 +183,7 @@ def statement_full_hash(spark, d):
 @query(DEDUP + "SELECT d.mk_hash, d.stmt_id, count(*) AS n_evidence FROM d JOIN ev USING (mk_hash) GROUP BY ALL")
 def combine_duplicates(spark, d):
     c = dedup(spark, d)
-    return c.statements.select("mk_hash", "stmt_id").join(c.evidence.groupBy("stmt_id").agg(F.count("*").alias("n_evidence")), "stmt_id")
+    return c.statements.select("mk_hash", "stmt_id").join(c.evidence.groupBy("mk_hash").agg(F.count("*").alias("n_evidence")), "mk_hash")
 
 
 @query(DEDUP + "SELECT mk_hash, round(belief, 9) AS belief FROM bel")
@@ -196,9 +199,8 @@ def best_supported(spark, d):
     """Flagship: evidence to keys, duplicates merged, belief, filter, the hundred best."""
     c = filters.filter_belief(believed(spark, d), 0.5)
     n = c.evidence.groupBy("stmt_id").agg(F.count("*").alias("n_evidence"))
-    top = c.statements.join(n, "stmt_id").select("stmt_id", "mk_hash", "stmt_type", F.round("belief", 9).alias("belief"), "n_evidence").orderBy(F.desc("belief"), F.desc("n_evidence"), "mk_hash").limit(100)
-    name = lambda i, n: c.agents.where(F.col("idx") == i).select("stmt_id", F.col("name").alias(n))
-    return top.join(name(0, "subj"), "stmt_id").join(name(1, "obj"), "stmt_id").drop("stmt_id")
+    name = lambda i, n: F.filter("args", lambda a: a["idx"] == i)[0]["name"].alias(n)
+    return c.statements.join(n, "stmt_id").select("mk_hash", "stmt_type", name(0, "subj"), name(1, "obj"), F.round("belief", 9).alias("belief"), "n_evidence").orderBy(F.desc("belief"), F.desc("n_evidence"), "mk_hash").limit(100)
 
 
 @query(DEDUP + "SELECT d.stmt_id, coalesce(sum((src = 'reach')::INT), 0)::DOUBLE AS n_reach, coalesce(sum((src = 'signor')::INT), 0)::DOUBLE AS n_signor, count(DISTINCT pmid)::DOUBLE AS n_pmid, 2.0::DOUBLE AS n_agents, (max(residue) IS NOT NULL AND max(position) IS NOT NULL)::INT::DOUBLE AS has_site FROM d JOIN ev USING (mk_hash) GROUP BY d.stmt_id")
@@ -422,11 +424,17 @@ def cheapest_costs(spark, d):
     return paths.open_dijkstra(part_graph(spark, d), starts(spark, d), max_rounds=100)
 
 
-@query()
+@query(GRAPH + """, st AS (SELECT p_partkey AS subj, (p_partkey * 49 + 24) % n + 1 AS obj, (p_partkey % 2 = 1)::INT AS sgn FROM part, k),
+b AS (SELECT DISTINCT obj AS start, obj AS node, 0 AS s, 0 AS l FROM st UNION SELECT start, u, xor(s, sign), l + 1 FROM b JOIN g ON node = v WHERE l < 8),
+f AS (SELECT start, node, s, min(l) AS l FROM b GROUP BY ALL)
+SELECT subj AS stmt_id, CASE WHEN l IS NULL THEN 'NO_PATHS_FOUND' WHEN l > 5 THEN 'MAX_PATH_LENGTH_EXCEEDED' ELSE 'PATHS_FOUND' END AS result_code, l::INT AS length FROM st LEFT JOIN f ON start = obj AND node = subj AND s = sgn AND (l > 0)""")
 def check_model(spark, d):
+    """A statement about every part."""
+    p = table(spark, d, "part")
+    n = p.count()
     g = part_graph(spark, d).select(F.col("u").cast("string").alias("agA_name"), F.col("v").cast("string").alias("agB_name"), "sign")
-    st = table(spark, d, "part").where("p_size <= 2").select(F.col("p_partkey").alias("stmt_id"), F.when(F.col("p_partkey") % 2 == 0, "Activation").otherwise("Inhibition").alias("stmt_type"), F.col("p_partkey").cast("string").alias("subj"), ((F.col("p_partkey") * 49 + 24) % 2000 + 1).cast("string").alias("obj"))
-    return paths.check_model(network.signed_nodes(g), st, 3, 4)
+    st = p.select(F.col("p_partkey").alias("stmt_id"), F.when(F.col("p_partkey") % 2 == 0, "Activation").otherwise("Inhibition").alias("stmt_type"), F.col("p_partkey").cast("string").alias("subj"), ((F.col("p_partkey") * 49 + 24) % n + 1).cast("string").alias("obj"))
+    return paths.check_model(network.signed_nodes(g), st).withColumn("length", F.col("length").cast("int"))
 
 
 # mechanisms

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,13 @@ def session(app: str = "claimgrid", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where that is unset (tests)."""
+    """``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if not at:
+        if not known.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = known.get() if known.isDefined() else tempfile.mkdtemp(prefix=f"claimgrid-{os.getpid()}-")
     if not known.isDefined():
         sc.setCheckpointDir(at)

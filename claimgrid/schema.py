@@ -3,6 +3,10 @@
 A corpus is three DataFrames: ``statements`` (one row an assertion), ``agents`` (one row an argument) and ``evidence``
 (one row a supporting sentence or record). Nested parts of an agent are arrays of structs; nothing is nested deeper
 than one level, so filters and columns reach the Parquet scan.
+
+Statements may carry their arguments and evidence as arrays, ``args`` and ``ev``. Keys, pairs of arguments and filters
+are then worked out in the row, without a shuffle, and the other two tables are those arrays exploded. An operator that rewrites
+agents or evidence drops the array it has outdated.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOD = "struct<mod_type:string,residue:string,position:string,is_modified:boolean>"
@@ -74,17 +79,32 @@ class Corpus:
         return self.statements.sparkSession
 
     def with_(self, **parts: DataFrame | None) -> Corpus:
-        return replace(self, **parts)
+        """With other tables; the arrays of rewritten agents or evidence go."""
+        statements = parts.get("statements", self.statements)
+        old = [a for a, t in (("args", "agents"), ("ev", "evidence")) if t in parts and a in statements.columns]
+        return replace(self, **(parts | ({"statements": statements.drop(*old)} if old else {})))
 
     def keep(self, statements: DataFrame) -> Corpus:
-        """Only these statements; agents and evidence follow by a semi-join on stmt_id when they are used."""
+        """Only these statements; agents and evidence are their arrays, or follow by a semi-join on stmt_id when they are used."""
         ids = statements.select("stmt_id")
-        return replace(self, statements=statements, agents=self.agents.join(ids, "stmt_id", "left_semi"), evidence=self.evidence.join(ids, "stmt_id", "left_semi"))
+        agents = exploded(statements, "args") if "args" in statements.columns else self.agents.join(ids, "stmt_id", "left_semi")
+        evidence = exploded(statements, "ev") if "ev" in statements.columns else self.evidence.join(ids, "stmt_id", "left_semi")
+        return replace(self, statements=statements, agents=agents, evidence=evidence)
 
     def transform(self, fn, *args, **kwargs) -> Corpus:
         return fn(self, *args, **kwargs)
 
 
+def exploded(statements: DataFrame, array: str) -> DataFrame:
+    """Rows of agents (``args``) or evidence (``ev``) from the arrays of ``statements``."""
+    return statements.select("stmt_id", F.explode(array).alias("__x")).select("stmt_id", "__x.*")
+
+
+def packed(statements: DataFrame) -> Corpus:
+    """A corpus of statements with both arrays."""
+    return Corpus(statements, exploded(statements, "args"), exploded(statements, "ev"))
+
+
 def struct_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

@@ -48,7 +48,7 @@ def with_genes(rel: DataFrame, genes: DataFrame | None, side: str) -> DataFrame:
     return rel.join(g, name == F.col("__s"), "left").withColumn(f"{side}_refs", refs(TEXT=name, HGNC=F.col("hgnc"), UP=F.when(~F.col("up").contains(","), F.col("up")))).drop("__s", "hgnc", "up")
 
 
-ARG = f"struct<role:string,name:string,db_refs:map<string,string>,mods:array<{MOD}>,bound:array<{BOUND}>,activity:{ACT}>"
+ARG = f"struct<role:string,name:string,db_refs:map<string,string>,mods:array<{MOD}>,mutations:array<{MUT}>,bound:array<{BOUND}>,activity:{ACT},location:string>"
 EVD = "struct<source_id:string,pmid:string,text:string,text_refs:map<string,string>,annotations:string,direct:boolean,hypothesis:boolean,negated:boolean>"
 REST = {"residue": "string", "position": "string", "activity": "string", "is_active": "boolean", "from_location": "string", "to_location": "string"}
 
@@ -59,7 +59,7 @@ def _fill(ddl_fields: list[tuple[str, str]], given: dict[str, Column]) -> Column
 
 def arg(role: str, name: Column, db_refs: Column, **more: Column) -> Column:
     """One argument; a null name keeps its place but gives no row."""
-    fields = [("role", "string"), ("name", "string"), ("db_refs", "map<string,string>"), ("mods", f"array<{MOD}>"), ("bound", f"array<{BOUND}>"), ("activity", ACT)]
+    fields = [("role", "string"), ("name", "string"), ("db_refs", "map<string,string>"), ("mods", f"array<{MOD}>"), ("mutations", f"array<{MUT}>"), ("bound", f"array<{BOUND}>"), ("activity", ACT), ("location", "string")]
     return _fill(fields, {"role": F.lit(role), "name": name, "db_refs": db_refs, **more})
 
 
@@ -85,7 +85,7 @@ def assemble(rel: DataFrame, source_api: str) -> Corpus:
     rel = rel.select("stmt_type", "args", "evidence", *REST).where("stmt_type is not null")
     rel = rel.withColumn("stmt_id", F.xxhash64(F.lit(source_api), F.to_json(F.struct("stmt_type", "args", "evidence", *REST)))).dropDuplicates(["stmt_id"])
     statements = rel.select("stmt_id", "stmt_type", *REST, F.lit(None).cast("double").alias("belief"))
-    agents = rel.select("stmt_id", F.posexplode("args").alias("idx", "x")).where("x.name is not null").select("stmt_id", "x.role", "idx", "x.name", F.coalesce("x.db_refs", F.create_map().cast("map<string,string>")).alias("db_refs"), "x.mods", F.lit(None).cast(f"array<{MUT}>").alias("mutations"), "x.bound", "x.activity", F.lit(None).cast("string").alias("location"))
+    agents = rel.select("stmt_id", F.posexplode("args").alias("idx", "x")).where("x.name is not null").select("stmt_id", "x.role", "idx", "x.name", F.coalesce("x.db_refs", F.create_map().cast("map<string,string>")).alias("db_refs"), "x.mods", "x.mutations", "x.bound", "x.activity", "x.location")
     evidence = rel.select("stmt_id", F.posexplode("evidence").alias("ord", "e")).select("stmt_id", "ord", F.lit(source_api).alias("source_api"), "e.source_id", "e.pmid", "e.text", "e.text_refs", "e.annotations", "e.direct", "e.hypothesis", "e.negated")
     return Corpus(statements, agents, evidence)
 
