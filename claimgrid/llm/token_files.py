@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import release_memory, shared_dir, table, trimmed
+from .common import shared_dir, table, trimmed
 
 END_ID = 1
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 ROW_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 #: Bytes of text that are encoded at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -176,7 +176,6 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
                 [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(start + places[:-1]), pa.array((n + 1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.view("<i4")))], names=["doc_id", "part", "local_start", "n_tokens", "ids"]
             )
             start += int(places[-1])
-            release_memory()
 
 
 def write(docs: DataFrame, at: str, tokenizer: str | None = None, end_id: int = END_ID, bloom_fpp: float = 0.01) -> str:
