@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, table, trimmed
+from .common import release_memory, shared_dir, table, trimmed
 
 END_ID = 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 ROW_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 #: Bytes of text that are encoded at once.
@@ -52,8 +52,9 @@ PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
 #: The tokenizer file's own rule for cutting words, over lower-cased text.
 CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-#: What often follows a word of letters and is then a piece of its own.
-TAILS = list(".,;:!?")
+#: Visible ASCII signs, a run of which after a word's letters is a piece of its own; and the small letters of Latin-1.
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+SMALL = "".join(chr(c) for c in range(97, 256) if chr(c).isalpha() and chr(c) == chr(c).lower())
 
 
 def byte_letters() -> list[str]:
@@ -117,25 +118,25 @@ class WordIds:
         """Ids of units, and for each of the distinct ``words`` the numbers of its two units; unit 0 is empty."""
         plain = pc.and_(pc.match_substring_regex(words, f"^{PLAIN.pattern}$"), pc.invert(pc.match_substring(words, "<|")))
         lower = pc.utf8_lower(words)
-        stem, last = pc.utf8_slice_codeunits(lower, 0, -1), pc.utf8_slice_codeunits(lower, -1)
-        whole = pc.and_(plain, pc.utf8_is_alpha(lower))
-        tailed = pc.and_(plain, pc.and_(pc.is_in(last, pa.array(TAILS)), pc.utf8_is_alpha(stem)))
-        stems = pc.if_else(whole, lower, pc.if_else(tailed, stem, pa.scalar(None, words.type))).dictionary_encode()
-        known = stems.dictionary.to_pylist()
-        other = pc.invert(pc.or_(whole, tailed)).to_numpy(zero_copy_only=False)
+        stem, tail = pc.utf8_rtrim(lower, SIGNS), pc.utf8_ltrim(lower, SMALL)
+        # letters, then signs or nothing: both together are the word
+        fits = pc.and_(plain, pc.and_(pc.utf8_is_alpha(stem), pc.equal(pc.add(pc.utf8_length(stem), pc.utf8_length(tail)), pc.utf8_length(lower))))
+        none = pa.scalar(None, words.type)
+        stems, tails = (pc.if_else(fits, x, none).dictionary_encode() for x in (stem, tail))
+        known, signs = stems.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        other = pc.invert(fits).to_numpy(zero_copy_only=False)
         rest = words.filter(pa.array(other)).to_pylist()
-        one = pc.fill_null(stems.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        one, two = (pc.fill_null(x.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1 for x in (stems, tails))
         one[other] = 1 + len(known) + np.arange(len(rest))
-        tail = pc.fill_null(pc.if_else(tailed, pc.index_in(last, pa.array(TAILS)), pa.scalar(None, pa.int32())), -1).to_numpy(zero_copy_only=False)
-        two = np.where(tail < 0, 0, 1 + len(known) + len(rest) + tail)
-        return [b"", *map(self.pieces.__getitem__, known), *map(self.word, rest), *map(self.pieces.__getitem__, TAILS)], np.stack([one, two], axis=1)
+        two[two > 0] += len(known) + len(rest)
+        return [b"", *map(self.pieces.__getitem__, known), *map(self.word, rest), *(self.pieces[t] if t else b"" for t in signs)], np.stack([one, two], axis=1)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` (null: empty), one text after another, and the number of ids of each."""
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         units, pairs = self.units(coded.dictionary)
-        size = np.fromiter((len(u) // 4 for u in units), np.int64, len(units))
+        size = np.fromiter(map(len, units), np.int64, len(units)) // 4
         flat, n = gathered(np.frombuffer(b"".join(units), "<u4"), np.cumsum(size) - size, size, pairs.ravel())
         n = n.reshape(-1, 2).sum(axis=1)
         ids, n = gathered(flat, np.cumsum(n) - n, n, coded.indices.to_numpy())
@@ -176,6 +177,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
                 [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(start + places[:-1]), pa.array((n + 1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.view("<i4")))], names=["doc_id", "part", "local_start", "n_tokens", "ids"]
             )
             start += int(places[-1])
+            release_memory()
 
 
 def write(docs: DataFrame, at: str, tokenizer: str | None = None, end_id: int = END_ID, bloom_fpp: float = 0.01) -> str:
