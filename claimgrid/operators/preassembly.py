@@ -22,18 +22,18 @@ ABSENT = "~"
 def combine_duplicates(c: Corpus) -> Corpus:
     """One assertion for each key, its stmt_id the least of the group; evidence is united and equal evidence kept once. Evidence bears the key's mk_hash.
 
-    Rows that repeat a stmt_id count once. With arguments on the row the heads are one aggregation by key, combined before the shuffle, as is
-    the removal of equal evidence; only distinct evidence meets its head, so a very common assertion is no hot key.
+    Rows that repeat a stmt_id count once. With arguments on the row the heads' ids are one narrow aggregation by key, combined before the shuffle, as is
+    the removal of equal evidence; only distinct evidence meets its head by key, so a very common assertion is no hot key.
     """
     if "args" in c.statements.columns:
         whole = statement_keys(c).drop("mk")
-        cols = [x for x in whole.columns if x not in ("ev", "mk_hash")]
-        heads = whole.groupBy("mk_hash").agg(F.min_by(F.struct(*cols), "stmt_id").alias("__x")).select("mk_hash", "__x.*")
+        to = whole.groupBy("mk_hash").agg(F.min("stmt_id").alias("stmt_id"))
+        # only hashes are dealt out by key; the heads' rows meet them by stmt_id, so columns that nobody asks for stay behind
+        heads = c.statements.drop("ev").join(to, "stmt_id").dropDuplicates(["stmt_id"])
         own = whole.select("mk_hash", F.explode("ev").alias("__x")).select("mk_hash", "__x.*") if "ev" in whole.columns else c.evidence.join(whole.select("stmt_id", "mk_hash"), "stmt_id").drop("stmt_id")
         distinct = own.withColumn("__ek", evidence_key()).dropDuplicates(["mk_hash", "__ek"]).drop("__ek")
-        to = whole.groupBy("mk_hash").agg(F.min("stmt_id").alias("stmt_id"))
         evidence = distinct.join(to, "mk_hash")
-        return replace(c, statements=heads.select(*cols, "mk_hash"), agents=exploded(heads, "args"), evidence=evidence.select("stmt_id", *own.columns[1:], "mk_hash"))
+        return replace(c, statements=heads, agents=exploded(heads, "args"), evidence=evidence.select("stmt_id", *own.columns[1:], "mk_hash"))
     keyed = statement_keys(c).select("stmt_id", "mk_hash")
     to = keyed.groupBy("mk_hash").agg(F.min("stmt_id").alias("__to"))
     ids = keyed.join(to, "mk_hash").select("stmt_id", "__to", "mk_hash")
