@@ -151,18 +151,27 @@ def refinements(statements: DataFrame, events: DataFrame, closed: DataFrame) ->
 
 
 def contradictions(statements: DataFrame, events: DataFrame, closed: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b), a < b: influences or associations of two whose concepts are all related (or all opposite) with other overall signs, or one opposite and one related with the same sign."""
+    """(a, b), a < b: influences or associations of two whose concepts are all related (or all opposite) with other overall signs, or one opposite and one related with the same sign.
+
+    The first assertion's concepts are both spread over what is related or opposite to them and spoken of at all; pairs are an equi-join on type and both concepts.
+    """
     w = checkpoint(_wide(statements, events, ("Influence", "Association")).where(F.size("ks") == 2))
-    known = w.where(overall_polarity(F.col("ps")).isNotNull())
-    cells = _matched(known, known, closed, edges).where("a < b")
-    related = F.col("refines") | F.col("over")
-    rows = cells.groupBy("a", "b", "stmt_type").agg(F.first("pa").alias("pa"), F.first("pb").alias("pb"), *(F.bool_or(F.when((F.col("i") == i) & (F.col("j") == j), c)).alias(f"{n}{i}{j}") for i in (0, 1) for j in (0, 1) for n, c in (("r", related), ("o", F.col("opposite")))))
-    c = lambda n, i, j: F.coalesce(F.col(f"{n}{i}{j}"), F.lit(False))
-    straight = lambda x, y: c(x, 0, 0) & c(y, 1, 1)
-    crossed = lambda x, y: (F.col("stmt_type") == "Association") & c(x, 0, 1) & c(y, 1, 0)
-    both = lambda x, y: straight(x, y) | crossed(x, y)
-    other = overall_polarity(F.col("pa")) != overall_polarity(F.col("pb"))
-    return rows.where(((both("r", "r") | both("o", "o")) & other) | ((both("r", "o") | both("o", "r")) & ~other)).select("a", "b")
+    rows = w.withColumn("sign", overall_polarity(F.col("ps"))).where("sign is not null").select("stmt_id", "stmt_type", F.col("ks")[0].alias("k0"), F.col("ks")[1].alias("k1"), "sign")
+    up = _above(closed)
+    related = up.union(up.select(F.col("up").alias("k"), F.col("k").alias("up"))).withColumn("kind", F.lit("r"))
+    opposed = opposites(edges).select(_key().alias("k"), F.concat_ws(":", "o_ns", "o_id").alias("up")).withColumn("kind", F.lit("o"))
+    near = related.union(opposed).where("kind = 'o' or k <> up").distinct()
+    spoken = rows.select(F.col("k0").alias("up")).union(rows.select("k1")).distinct()
+    near = checkpoint(near.join(spoken, "up", "left_semi"))
+    # both concepts are in the key, so a very common concept alone brings nothing together
+    a = rows
+    for i in (0, 1):
+        same = a.withColumn(f"t{i}", F.col(f"k{i}")).withColumn(f"x{i}", F.lit("r"))
+        a = same if near.isEmpty() else same.union(a.join(near.withColumnsRenamed({"k": f"k{i}", "up": f"t{i}", "kind": f"x{i}"}), f"k{i}").select(*same.columns))
+    b = rows.select(F.col("stmt_id").alias("b"), "stmt_type", F.col("k0").alias("t0"), F.col("k1").alias("t1"), F.col("sign").alias("b_sign"))
+    turned = rows.where("stmt_type = 'Association'").select("stmt_id", "stmt_type", F.col("k1").alias("t0"), F.col("k0").alias("t1"), "sign")
+    met = a.withColumnRenamed("stmt_id", "a").join(b.union(turned), ["stmt_type", "t0", "t1"]).where("a < b")
+    return met.where("(x0 = x1) <> (sign = b_sign)").select("a", "b").distinct()
 
 
 def normalize_opposites(events: DataFrame, edges: DataFrame, nodes: DataFrame, ns: str) -> DataFrame:
