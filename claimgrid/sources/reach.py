@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import picked
+from ..runtime import checkpoint
 from ..schema import ADDING, BOUND, INVERSE, MOD, MUT, REMOVING, Corpus
 from .relations import REST, RESIDUES, arg, assemble, evd
 
@@ -196,6 +197,7 @@ PARTS = (modifications, amounts, complexes, activations, translocations, convers
 
 def reach(spark: SparkSession, path: str, lines: bool = False, citation: Column | None = None, organisms: tuple[str, ...] = ()) -> Corpus:
     """All assertions of the documents; ``citation``: the paper's id as an expression over ``path``."""
-    docs = documents(spark, path, lines).withColumn("citation", citation if citation is not None else F.lit(None).cast("string"))
+    # six kinds of events and three tables are made of the documents: they are read once, and so are the assertions
+    docs = checkpoint(documents(spark, path, lines)).withColumn("citation", citation if citation is not None else F.lit(None).cast("string"))
     whole = lambda df: df.select("stmt_type", "args", "evidence", *((F.col(n) if n in df.columns else F.lit(None).cast(t).alias(n)) for n, t in REST.items()))
-    return assemble(reduce(DataFrame.union, (whole(part(docs, organisms)) for part in PARTS)), "reach")
+    return assemble(reduce(DataFrame.union, (whole(part(docs, organisms)) for part in PARTS)), "reach", keep=True)

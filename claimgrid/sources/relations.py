@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint
 from ..schema import ACT, BOUND, MOD, MUT, Corpus
 
 COLUMNS = "stmt_type string, a_name string, a_refs map<string,string>, b_name string, b_refs map<string,string>, pmids array<string>, source_id string, text string, direct boolean, residue string, position string"
@@ -74,16 +75,18 @@ def papers(pmids: Column, **parts: Column) -> Column:
     return F.transform(some, lambda p: evd(pmid=p, text_refs=F.when(p.isNotNull(), F.create_map(F.lit("PMID"), p)), **parts))
 
 
-def assemble(rel: DataFrame, source_api: str) -> Corpus:
+def assemble(rel: DataFrame, source_api: str, keep: bool = False) -> Corpus:
     """A corpus of rows with stmt_type, args (array of ``arg``), evidence (array of ``evd``) and any of ``REST``.
 
-    Rows without a type are left out, equal rows are one. Ids are hashes of the row, so a second reading gives the same.
+    Rows without a type are left out, equal rows are one. Ids are hashes of the row, so a second reading gives the same. ``keep``: the rows are stored, so that the three tables are not made anew from the source.
     """
     for n, t in REST.items():
         if n not in rel.columns:
             rel = rel.withColumn(n, F.lit(None).cast(t))
     rel = rel.select("stmt_type", "args", "evidence", *REST).where("stmt_type is not null")
     rel = rel.withColumn("stmt_id", F.xxhash64(F.lit(source_api), F.to_json(F.struct("stmt_type", "args", "evidence", *REST)))).dropDuplicates(["stmt_id"])
+    if keep:
+        rel = checkpoint(rel)
     statements = rel.select("stmt_id", "stmt_type", *REST, F.lit(None).cast("double").alias("belief"))
     agents = rel.select("stmt_id", F.posexplode("args").alias("idx", "x")).where("x.name is not null").select("stmt_id", "x.role", "idx", "x.name", F.coalesce("x.db_refs", F.create_map().cast("map<string,string>")).alias("db_refs"), "x.mods", "x.mutations", "x.bound", "x.activity", "x.location")
     evidence = rel.select("stmt_id", F.posexplode("evidence").alias("ord", "e")).select("stmt_id", "ord", F.lit(source_api).alias("source_api"), "e.source_id", "e.pmid", "e.text", "e.text_refs", "e.annotations", "e.direct", "e.hypothesis", "e.negated")
